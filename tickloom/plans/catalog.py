@@ -88,6 +88,10 @@ WITH S AS (
 PREDICTED = PANEL + """,
 Q AS (SELECT *, """ + ", ".join(f"0.6*responder_{i} + 0.1*feature_03 AS pred_{i}" for i in range(9)) + """ FROM P)"""
 
+# P with responders rounded to 9 digits.
+SETTLED = PANEL + """,
+R AS (SELECT * REPLACE (""" + ", ".join(f"round(responder_{i}, 9) AS responder_{i}" for i in range(9)) + """) FROM P)"""
+
 # Logits and step blocks.
 LOGITS = """
 WITH L AS (

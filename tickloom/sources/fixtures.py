@@ -85,6 +85,11 @@ def _with_responders(base: DataFrame) -> DataFrame:
     return means.select(*base.columns, *[responder[i].alias(f"responder_{i}") for i in range(9)])
 
 
+def settled_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel with responders rounded to 9 digits, for steps that compare with a threshold."""
+    return panel(spark, sf_dir).withColumns({c: F.round(c, 9) for c in RESPONDERS})
+
+
 def stage_panel(spark: SparkSession, sf_dir: str, path: str) -> str:
     """Write the panel once as a table partitioned by date; later calls in this session scan it."""
     _with_responders(base_panel(spark, sf_dir)).hint("rebalance", "date_id").write.mode("errorifexists").partitionBy(
