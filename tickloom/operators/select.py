@@ -112,3 +112,8 @@ def flatten_targets(df: DataFrame, targets: Sequence[str], ids: Sequence[str]) -
         *[F.struct(F.lit(i).alias("responder_num"), F.col(c).alias("target")) for i, c in enumerate(targets)]
     )
     return df.select(*ids, F.explode(cells).alias("__x")).select(*ids, "__x.responder_num", "__x.target")
+
+
+def attach_by_key(df: DataFrame, other: DataFrame, columns: Sequence[str], keys: Sequence[str] = INDEX) -> DataFrame:
+    """Add columns of another table by panel key; rows have no position to go by."""
+    return df.join(other.select(*keys, *columns), list(keys), "left")
