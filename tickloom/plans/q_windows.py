@@ -196,11 +196,11 @@ def _(spark, sf):
 def _(spark, sf):
     df = chunks.instance_normalize(_chunks(spark, sf))
     back = chunks.denormalize(F.col("past_normal"), F.col("mu"), F.col("sd"))
-    return df.select(
+    return df.withColumn("back", back).select(
         *INDEX,
         *rn("mu", "sd"),
         r(F.get("past_normal", F.lit(49)), 5).alias("last_normal"),
-        r(F.get(back, F.lit(49))).alias("last_restored"),
+        r(F.get("back", F.lit(49))).alias("last_restored"),
     )
 
 
