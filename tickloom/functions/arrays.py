@@ -1,64 +1,32 @@
-"""Expressions on array columns: logits and step blocks."""
+"""Expressions on array columns: logits and step blocks. String arguments are SQL expressions."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Class weights and label smoothing of the magnitude classifier.
-CLASS_WEIGHTS = (0.55, 0.22, 0.14, 0.09)
-LABEL_SMOOTHING = 0.05
-
+from tickloom.functions import text
 
-def _c(column: str | Column) -> Column:
-    return F.col(column) if isinstance(column, str) else column
 
-
-def argmax_class(logits: str | Column) -> Column:
+def argmax_class(logits: str) -> Column:
     """0-based position of the first largest entry."""
-    a = _c(logits)
-    return (F.array_position(a, F.array_max(a)) - 1).cast("int")
-
-
-def array_sum(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
-
-
-def softmax(logits: str | Column) -> Column:
-    a = _c(logits)
-    e = F.transform(a, lambda x: F.exp(x - F.array_max(a)))
-    return F.transform(e, lambda x: x / array_sum(e))
+    return F.expr(text.argmax_class(logits))
 
 
-def log_sum_exp(logits: str | Column) -> Column:
-    a = _c(logits)
-    m = F.array_max(a)
-    return m + F.log(array_sum(F.transform(a, lambda x: F.exp(x - m))))
+def softmax(logits: str) -> Column:
+    shifted = f"transform({logits}, x -> exp(x - array_max({logits})))"
+    return F.expr(f"transform({shifted}, x -> x / {text.array_sum(shifted)})")
 
 
-def cross_entropy_parts(
-    logits: str | Column,
-    klass: str | Column,
-    class_weights: Sequence[float] = CLASS_WEIGHTS,
-    smoothing: float = LABEL_SMOOTHING,
-) -> tuple[Column, Column]:
-    """Per-row numerator and denominator of the class-weighted, smoothed cross entropy."""
-    a, k = _c(logits), _c(klass)
-    n = len(class_weights)
-    weights = F.array(*[F.lit(float(w)) for w in class_weights])
-    lse = log_sum_exp(a)
-    hit = (lse - F.get(a, k)) * F.get(weights, k)
-    spread = sum((lse - F.get(a, F.lit(i))) * w for i, w in enumerate(class_weights))
-    return (1 - smoothing) * hit + (smoothing / n) * spread, F.get(weights, k)
+def cross_entropy_parts(logits: str, klass: str) -> tuple[Column, Column]:
+    num, den = text.cross_entropy_parts(logits, klass)
+    return F.expr(num), F.expr(den)
 
 
-def array_mean(steps: str | Column) -> Column:
-    a = _c(steps)
-    return array_sum(a) / F.nullif(F.size(a), F.lit(0))
+def array_mean(steps: str) -> Column:
+    return F.expr(text.array_mean(steps))
 
 
-def step(steps: str | Column, index: int) -> Column:
+def step(steps: str, index: int) -> Column:
     """0-based entry, null past the end."""
-    return F.get(_c(steps), F.lit(index))
+    return F.expr(text.item(steps, index))

@@ -1,32 +1,29 @@
-"""Scalar expressions on panel columns."""
+"""Scalar expressions on panel columns. String arguments are SQL expressions, such as column names."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Upper bounds of the magnitude classes, and factors per predicted class.
-MAGNITUDE_BOUNDS = (0.06, 0.15, 0.26)
-SHRINK_TRAIN = (0.10, 0.25, 0.50)
-SHRINK_PREDICT = (0.0, 0.25, 0.50)
-SHRINK_WIDE_TEST = (0.01, 0.10, 0.25)
+from tickloom.functions import text
+from tickloom.functions.text import (  # noqa: F401
+    MAGNITUDE_BOUNDS,
+    SHRINK_PREDICT,
+    SHRINK_TRAIN,
+    SHRINK_WIDE_TEST,
+)
 
 
-def _c(column: str | Column) -> Column:
-    return F.col(column) if isinstance(column, str) else column
-
-
-def nan_to_null(column: str | Column) -> Column:
-    return F.nanvl(_c(column), F.lit(None).cast("double"))
+def nan_to_null(column: str) -> Column:
+    return F.expr(text.nan_to_null(column))
 
 
 def nan_to_null_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.withColumns({c: nan_to_null(c) for c in columns})
+    return df.withColumns({c: nan_to_null(text.name(c)) for c in columns})
 
 
 def zero_fill(df: DataFrame) -> DataFrame:
@@ -34,43 +31,31 @@ def zero_fill(df: DataFrame) -> DataFrame:
     return df.na.fill(0)
 
 
-def magnitude_class(column: str | Column, bounds: Sequence[float] = MAGNITUDE_BOUNDS) -> Column:
-    """0 for the smallest values up to ``len(bounds)``; a value on a bound stays below it."""
-    a = F.abs(_c(column))
-    a = F.when(F.isnan(a), F.lit(0.0)).otherwise(a)
-    out = F.lit(0)
-    for i, b in enumerate(bounds, start=1):
-        out = F.when(a > b, i).otherwise(out)
-    return F.when(a.isNotNull(), out)
+def magnitude_class(x: str, bounds: Sequence[float] = MAGNITUDE_BOUNDS) -> Column:
+    return F.expr(text.magnitude_class(x, bounds))
 
 
-def shrink_by_class(prediction: str | Column, klass: str | Column, factors: Sequence[float]) -> Column:
-    """Scale a prediction by the factor of its class; classes past the table stay as they are."""
-    p, k = _c(prediction), _c(klass)
-    factor = reduce(lambda acc, kv: F.when(k == kv[0], F.lit(kv[1])).otherwise(acc), enumerate(factors), F.lit(1.0))
-    return p * factor
+def shrink_by_class(p: str, klass: str, factors: Sequence[float]) -> Column:
+    return F.expr(text.shrink_by_class(p, klass, factors))
 
 
-def blend(parts: Sequence[tuple[str | Column, float]]) -> Column:
-    return reduce(lambda a, b: a + b, [_c(c) * w for c, w in parts])
+def blend(parts: Sequence[tuple[str, float]]) -> Column:
+    return F.expr(text.blend(parts))
 
 
-def synthetic_responder(long_side: str | Column, short_side: str | Column, scale: float) -> Column:
-    """Difference of two log returns, back as a return. Null where a return is −100 % or worse."""
-    a, b = _c(long_side) / scale, _c(short_side) / scale
-    value = F.expm1(F.log1p(a) - F.log1p(b)) * scale
-    return F.when((a > -1) & (b > -1), value)
+def synthetic_responder(long_side: str, short_side: str, scale: float) -> Column:
+    return F.expr(text.synthetic_responder(long_side, short_side, scale))
 
 
-def clamp(column: str | Column, bound: float | Column = 5.0) -> Column:
+def clamp(x: str, bound: float | Column = 5.0) -> Column:
     hi = bound if isinstance(bound, Column) else F.lit(bound)
-    return F.greatest(-hi, F.least(hi, _c(column)))
+    return F.greatest(-hi, F.least(hi, F.expr(x)))
 
 
-def cyclic(column: str | Column, period: float) -> tuple[Column, Column]:
+def cyclic(x: str, period: float) -> tuple[Column, Column]:
     """Sine and cosine of a position on a cycle."""
-    angle = _c(column) * (2 * math.pi / period)
-    return F.sin(angle), F.cos(angle)
+    angle = f"({x}) * {text.number(2 * math.pi / period)}"
+    return F.expr(f"sin({angle})"), F.expr(f"cos({angle})")
 
 
 def cast_index(df: DataFrame, dtype: str, columns: Sequence[str] = ("date_id", "time_id", "symbol_id")) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.arrays import array_mean, array_sum
+from tickloom.functions import text
 from tickloom.operators.series import SeriesLayout, over_series, with_position
 
 
@@ -27,12 +27,12 @@ def chunk_windows(
         "position",
     )
     # A struct keeps null values, which collect_list alone would drop.
-    item = F.struct(F.col(column).alias("v"))
+    item = f"named_struct('v', {column})"
     chunks = over_series(
         placed,
         lambda w: [
-            F.collect_list(item).over(w.rowsBetween(-(n_in - 1), 0)).alias("past"),
-            F.collect_list(item).over(w.rowsBetween(1, n_out)).alias("future"),
+            f"collect_list({item}) OVER ({w} ROWS BETWEEN {n_in - 1} PRECEDING AND CURRENT ROW) AS past",
+            f"collect_list({item}) OVER ({w} ROWS BETWEEN 1 FOLLOWING AND {n_out} FOLLOWING) AS future",
         ],
         before=n_in - 1,
         after=n_out,
@@ -43,13 +43,11 @@ def chunk_windows(
 
 def instance_normalize(df: DataFrame, column: str = "past", eps: float = 1e-5) -> DataFrame:
     """Normalise each chunk by its own mean and deviation, both kept for the way back."""
-    a = F.col(column)
-    mu = array_mean(a)
-    var = array_sum(F.transform(a, lambda x: (x - F.col("mu")) * (x - F.col("mu")))) / F.size(a)
+    squares = f"aggregate({column}, 0.0D, (acc, x) -> acc + (x - mu) * (x - mu))"
     return (
-        df.withColumn("mu", mu)
-        .withColumn("sd", F.sqrt(var + eps))
-        .withColumn(f"{column}_normal", F.transform(a, lambda x: (x - F.col("mu")) / F.col("sd")))
+        df.withColumn("mu", F.expr(text.array_mean(column)))
+        .withColumn("sd", F.expr(f"sqrt({squares} / size({column}) + {text.number(eps)})"))
+        .withColumn(f"{column}_normal", F.expr(f"transform({column}, x -> (x - mu) / sd)"))
     )
 
 

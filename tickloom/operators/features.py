@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.scalars import nan_to_null
-from tickloom.operators.series import BY_DAY, SeriesLayout, attach_group_stats, is_short, over_series, shift_columns
+from tickloom.functions import text
+from tickloom.operators.series import (
+    BY_DAY,
+    SeriesLayout,
+    attach_group_stats,
+    is_short,
+    over_series,
+    shift_columns,
+    shifted,
+)
 from tickloom.schema import (
     FEATURES,
     LAG_STEPS,
@@ -37,12 +45,10 @@ def mean_features(
     A smallint ``member`` bounds a cross section, so one shuffle and one window do. Otherwise
     the means are aggregated first and joined back.
     """
-    stats = [F.avg(nan_to_null(c)) for c in features]
-    names = [mean_name(c) for c in features]
+    mean = lambda c, over: f"CAST(avg({text.nan_to_null(c)}){over} AS {dtype}) AS {mean_name(c)}"
     if is_short(df, member):
-        w = Window.partitionBy(*by)
-        return df.select("*", *[s.over(w).cast(dtype).alias(n) for s, n in zip(stats, names)])
-    return attach_group_stats(df, by, [s.cast(dtype).alias(n) for s, n in zip(stats, names)])
+        return df.selectExpr("*", *[mean(c, f" OVER (PARTITION BY {', '.join(by)})") for c in features])
+    return attach_group_stats(df, by, [F.expr(mean(c, "")) for c in features])
 
 
 def feature_lag_shifts(lag: int, features: Sequence[str] = FEATURES) -> list[Shift]:
@@ -101,7 +107,11 @@ def forward_sma(
     """Mean of a signal over the current and the next ``k - 1`` rows, shorter at the end."""
     return over_series(
         df,
-        lambda w: [F.avg(c).over(w.rowsBetween(0, k - 1)).alias(f"{c}_sma_{k}") for c in signals for k in windows],
+        lambda w: [
+            f"avg({c}) OVER ({w} ROWS BETWEEN CURRENT ROW AND {k - 1} FOLLOWING) AS {c}_sma_{k}"
+            for c in signals
+            for k in windows
+        ],
         after=max(windows) - 1,
         layout=layout,
     )
@@ -117,13 +127,13 @@ def sma_reconstruction(
 
     def build(w):
         out = []
-        ahead = F.lead("time_id", 19).over(w).isNotNull()
+        ahead = f"lead(time_id, 19) OVER ({w}) IS NOT NULL"
         for fast, slow in pairs:
-            parts = [F.col(fast)] + [F.lead(fast, i).over(w) for i in LEAD_STEPS]
-            mean = sum(parts[1:], parts[0]) / len(parts)
+            parts = [shifted(fast, -i, w) for i in LEAD_STEPS_FROM_ZERO]
+            mean = f"{text.total(parts)} / {len(parts)}"
             out += [
-                F.when(ahead, mean).alias(f"{slow}_rebuilt"),
-                F.when(ahead, F.col(slow) - mean).alias(f"{slow}_residual"),
+                f"CASE WHEN {ahead} THEN {mean} END AS {slow}_rebuilt",
+                f"CASE WHEN {ahead} THEN {slow} - {mean} END AS {slow}_residual",
             ]
         return out
 
@@ -132,6 +142,4 @@ def sma_reconstruction(
 
 def difference_residuals(df: DataFrame, triples: Sequence[tuple[str, str, str]]) -> DataFrame:
     """Residual of ``total = long − short`` for each responder triple."""
-    return df.select(
-        "*", *[(F.col(t) - (F.col(a) - F.col(b))).alias(f"{t}_residual") for t, a, b in triples]
-    )
+    return df.selectExpr("*", *[f"{t} - ({a} - {b}) AS {t}_residual" for t, a, b in triples])

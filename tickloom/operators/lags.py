@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.select import in_dates
-from tickloom.operators.series import SeriesLayout, attach_group_stats, is_short, shift_columns
+from tickloom.operators.series import SeriesLayout, attach_group_stats, is_short, join_sized, shift_columns
 from tickloom.schema import INDEX, LAG_STEPS, RESPONDERS, SMA_RESPONDERS, lag_name
 from tickloom.sources.panel import write_partitioned_cache
 
@@ -52,17 +52,16 @@ def cached_lag_responders(df: DataFrame, path: str) -> DataFrame:
 def lag_tail_pivot(lags: DataFrame) -> DataFrame:
     """One row per (date, symbol) with the 90 tail values of the previous date.
 
-    Rows past the largest step are dropped before the shuffle, so it carries at most 101 rows
-    of each series however long the series is.
+    Only rows at one of the 25 steps in use enter the shuffle, however long a series is.
     """
     cells = [(c, i) for sma, steps in LAG_STEPS.items() for c in SMA_RESPONDERS[sma] for i in steps]
-    deepest = max(i for _, i in cells)
+    steps = sorted({i for _, i in cells})
     return (
-        lags.where(F.col("lag_time_id") <= deepest)
+        lags.where(F.col("lag_time_id").isin(steps))
         .groupBy("date_id", "symbol_id")
         .agg(
             *[
-                F.max(F.when(F.col("lag_time_id") == i, F.col(f"{c}_shift_1"))).alias(lag_name(c, i))
+                F.expr(f"max(CASE WHEN lag_time_id = {i} THEN {c}_shift_1 END) AS {lag_name(c, i)}")
                 for c, i in cells
             ]
         )
@@ -72,7 +71,7 @@ def lag_tail_pivot(lags: DataFrame) -> DataFrame:
 def attach_prev_day_lags(df: DataFrame, lags: DataFrame) -> DataFrame:
     """Add the 90 tail values of the previous date to every row: one pivot and one join."""
     tails = lag_tail_pivot(in_dates(lags, df.select("date_id")))
-    return df.join(tails, ["date_id", "symbol_id"], "left")
+    return join_sized(df, tails, ["date_id", "symbol_id"])
 
 
 def self_join_day_lags(df: DataFrame, column: str, lags: int) -> DataFrame:

@@ -8,36 +8,30 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.arrays import cross_entropy_parts
-from tickloom.functions.scalars import magnitude_class
+from tickloom.functions import text
 from tickloom.operators.quantiles import exact_quantiles
 
-Pair = tuple[str | Column, str | Column]
+# (prediction, target), both SQL expressions over the table's columns.
+Pair = tuple[str, str]
 
 # Multipliers of the prediction tried by the scale sweep, and reported quantiles.
 TEST_SCALES = (0.001, 0.003, 0.005, 0.01, 0.03, 0.05, 0.1, 0.2, 0.3, 0.5, 0.8, 1.0, 1.25, 1.5)
 GATE_QUANTILES = (0.10, 0.25, 0.40)
 
 
-def _c(column: str | Column) -> Column:
-    return F.col(column) if isinstance(column, str) else column
+def _squared_errors(pairs: Sequence[Pair]) -> str:
+    return text.total([f"({y} - {p}) * ({y} - {p})" for p, y in pairs])
 
 
-def _total(parts: Sequence[Column]) -> Column:
-    return sum(parts[1:], parts[0])
-
-
-def r2_sums(pairs: Sequence[Pair], weight: str | Column = "weight") -> tuple[Column, Column]:
+def r2_sums(pairs: Sequence[Pair], weight: str = "weight") -> tuple[str, str]:
     """Numerator and denominator of the weighted R² loss, all targets pooled."""
-    w = _c(weight)
-    errors = [(_c(y) - _c(p)) * (_c(y) - _c(p)) for p, y in pairs]
-    squares = [_c(y) * _c(y) for _, y in pairs]
-    return F.sum(w * _total(errors)), F.sum(w * _total(squares))
+    squares = text.total([f"{y} * {y}" for _, y in pairs])
+    return f"sum({weight} * {_squared_errors(pairs)})", f"sum({weight} * {squares})"
 
 
-def r2_loss(pairs: Sequence[Pair], weight: str | Column = "weight") -> Column:
+def r2_loss(pairs: Sequence[Pair], weight: str = "weight") -> Column:
     num, den = r2_sums(pairs, weight)
-    return F.try_divide(num, den)
+    return F.expr(f"try_divide({num}, {den})")
 
 
 def weighted_r2_loss(
@@ -48,45 +42,40 @@ def weighted_r2_loss(
 
 
 def mse_loss(df: DataFrame, pairs: Sequence[Pair]) -> DataFrame:
-    errors = _total([(_c(y) - _c(p)) * (_c(y) - _c(p)) for p, y in pairs])
-    return df.agg((F.avg(errors) / len(pairs)).alias("loss"))
+    return df.agg(F.expr(f"avg({_squared_errors(pairs)}) / {len(pairs)} AS loss"))
 
 
 def mae_loss(df: DataFrame, pairs: Sequence[Pair]) -> DataFrame:
-    errors = _total([F.abs(_c(y) - _c(p)) for p, y in pairs])
-    return df.agg((F.avg(errors) / len(pairs)).alias("loss"))
+    errors = text.total([f"abs({y} - {p})" for p, y in pairs])
+    return df.agg(F.expr(f"avg({errors}) / {len(pairs)} AS loss"))
 
 
 def pinball_loss(df: DataFrame, pair: Pair, quantiles: Sequence[float]) -> DataFrame:
-    e = _c(pair[1]) - _c(pair[0])
-    wide = df.agg(*[F.avg(F.greatest(e * q, e * (q - 1))).alias(f"q{i}") for i, q in enumerate(quantiles)])
-    return _rows(wide, "quantile", [(F.lit(float(q)), F.col(f"q{i}")) for i, q in enumerate(quantiles)])
+    e = f"({pair[1]} - {pair[0]})"
+    wide = df.agg(
+        *[F.expr(f"avg(greatest({e} * {q}D, {e} * ({q}D - 1))) AS q{i}") for i, q in enumerate(quantiles)]
+    )
+    return _rows(wide, "quantile", [(text.number(q), f"q{i}") for i, q in enumerate(quantiles)])
 
 
-def _rows(wide: DataFrame, label: str, cells: Sequence[tuple[Column, Column]]) -> DataFrame:
+def _rows(wide: DataFrame, label: str, cells: Sequence[tuple[str, str]], *keep: str) -> DataFrame:
     """One row per (label, loss) from a one-row table."""
-    items = F.array(*[F.struct(k.alias(label), v.alias("loss")) for k, v in cells])
-    return wide.select(F.explode(items).alias("__x")).select(f"__x.{label}", "__x.loss")
+    items = ", ".join(f"named_struct('{label}', {k}, 'loss', {v})" for k, v in cells)
+    return wide.selectExpr(f"inline(array({items}))", *keep)
 
 
 def r2_scale_sweep(
     df: DataFrame, pairs: Sequence[Pair], scales: Sequence[float] = TEST_SCALES, weight: str = "weight"
 ) -> DataFrame:
     """Loss of each multiple of the prediction, from three moments of a single pass."""
-    w = _c(weight)
+    moment = lambda parts, n: F.expr(f"sum({weight} * {text.total(parts)}) AS {n}")
     wide = df.agg(
-        F.sum(w * _total([_c(y) * _c(y) for _, y in pairs])).alias("yy"),
-        F.sum(w * _total([_c(y) * _c(p) for p, y in pairs])).alias("yp"),
-        F.sum(w * _total([_c(p) * _c(p) for p, _ in pairs])).alias("pp"),
+        moment([f"{y} * {y}" for _, y in pairs], "yy"),
+        moment([f"{y} * {p}" for p, y in pairs], "yp"),
+        moment([f"{p} * {p}" for p, _ in pairs], "pp"),
     )
-    losses = [
-        (F.lit(float(s)), F.try_divide(F.col("yy") - 2 * s * F.col("yp") + s * s * F.col("pp"), F.col("yy")))
-        for s in scales
-    ]
-    items = F.array(*[F.struct(k.alias("scale"), v.alias("loss")) for k, v in losses])
-    return wide.select(
-        F.explode(items).alias("__x"), F.try_divide(F.col("yp"), F.col("pp")).alias("best_scale")
-    ).select("__x.scale", "__x.loss", "best_scale")
+    cells = [(n, f"try_divide(yy - 2 * {n} * yp + {n} * {n} * pp, yy)") for n in map(text.number, scales)]
+    return _rows(wide, "scale", cells, "try_divide(yp, pp) AS best_scale")
 
 
 def batch_weighted_loss(
@@ -101,11 +90,15 @@ def batch_weighted_loss(
     )
 
 
+def _xen_sums(pairs: Sequence[Pair]) -> tuple[str, str]:
+    parts = [text.cross_entropy_parts(a, k) for a, k in pairs]
+    return f"sum({text.total([n for n, _ in parts])})", f"sum({text.total([d for _, d in parts])})"
+
+
 def weighted_cross_entropy(df: DataFrame, pairs: Sequence[Pair]) -> DataFrame:
     """Class-weighted, label-smoothed cross entropy over (logits, class) pairs."""
-    parts = [cross_entropy_parts(a, k) for a, k in pairs]
-    num, den = _total([n for n, _ in parts]), _total([d for _, d in parts])
-    return df.agg(F.try_divide(F.sum(num), F.sum(den)).alias("loss"))
+    num, den = _xen_sums(pairs)
+    return df.agg(F.expr(f"try_divide({num}, {den}) AS loss"))
 
 
 def grad_hess(df: DataFrame, prediction: str, target: str, weight: str = "weight") -> DataFrame:
@@ -126,14 +119,8 @@ def magnitude_quantiles(
 
 def class_distribution(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows per magnitude class for each column; counts combine on the map side."""
-    cells = F.array(
-        *[F.struct(F.lit(c).alias("responder"), magnitude_class(c).alias("klass")) for c in columns]
-    )
-    return (
-        df.select(F.explode(cells).alias("__x"))
-        .groupBy("__x.responder", "__x.klass")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    cells = ", ".join(f"named_struct('responder', '{c}', 'klass', {text.magnitude_class(c)})" for c in columns)
+    return df.selectExpr(f"inline(array({cells}))").groupBy("responder", "klass").agg(F.count(F.lit(1)).alias("n"))
 
 
 @dataclass(frozen=True)
@@ -148,20 +135,18 @@ class LossTerm:
     factor: float = 1.0
 
 
-def _part_sums(kind: str, pairs: Sequence[Pair], weight: str | Column) -> tuple[Column, Column]:
+def _part_sums(kind: str, pairs: Sequence[Pair], weight: str) -> tuple[str, str]:
     if kind == "r2":
         return r2_sums(pairs, weight)
     if kind == "mse":
-        errors = _total([(_c(y) - _c(p)) * (_c(y) - _c(p)) for p, y in pairs])
-        return F.sum(errors), F.count(F.lit(1)) * len(pairs)
+        return f"sum({_squared_errors(pairs)})", f"count(1) * {len(pairs)}"
     if kind == "xen":
-        parts = [cross_entropy_parts(a, k) for a, k in pairs]
-        return F.sum(_total([n for n, _ in parts])), F.sum(_total([d for _, d in parts]))
+        return _xen_sums(pairs)
     raise ValueError(f"unknown loss kind {kind}")
 
 
 def composite_loss(
-    df: DataFrame, terms: Sequence[LossTerm], total: dict[str, float], weight: str | Column = "weight"
+    df: DataFrame, terms: Sequence[LossTerm], total: dict[str, float], weight: str = "weight"
 ) -> DataFrame:
     """All named losses and their weighted total from one aggregation; one row per loss."""
     aggregates, values = [], {}
@@ -169,9 +154,9 @@ def composite_loss(
         ratios = []
         for j, (kind, pairs) in enumerate(term.parts):
             num, den = _part_sums(kind, pairs, weight)
-            aggregates += [num.alias(f"__n{i}_{j}"), den.alias(f"__d{i}_{j}")]
-            ratios.append(F.try_divide(F.col(f"__n{i}_{j}"), F.col(f"__d{i}_{j}")))
-        values[term.name] = _total(ratios) * term.factor
-    cells = [(F.lit(n), v) for n, v in values.items()]
-    cells.append((F.lit("total"), _total([values[n] * f for n, f in total.items()])))
+            aggregates += [F.expr(f"{num} AS __n{i}_{j}"), F.expr(f"{den} AS __d{i}_{j}")]
+            ratios.append(f"try_divide(__n{i}_{j}, __d{i}_{j})")
+        values[term.name] = f"({text.total(ratios)} * {text.number(term.factor)})"
+    cells = [(f"'{n}'", v) for n, v in values.items()]
+    cells.append(("'total'", text.total([f"{values[n]} * {text.number(f)}" for n, f in total.items()])))
     return _rows(df.agg(*aggregates), "name", cells)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import nan_to_null
 from tickloom.operators.quantiles import exact_quantiles
+from tickloom.operators.series import join_sized
 from tickloom.schema import FEATURES
 
 
@@ -46,11 +47,11 @@ def fill_by_strategy(
     out = df
     if by[FillStrategy.GROUP_MEAN]:
         means = df.groupBy(*group).agg(*[F.avg(nan_to_null(c)).alias(f"__g_{c}") for c in by[FillStrategy.GROUP_MEAN]])
-        out = out.join(means, list(group), "left")
+        out = join_sized(out, means, group)
         stats |= {c: F.col(f"__g_{c}") for c in by[FillStrategy.GROUP_MEAN]}
     for c in by[FillStrategy.GROUP_MEDIAN]:
         medians = exact_quantiles(df, F.col(c), [0.5], group).select(*group, F.col("value").alias(f"__g_{c}"))
-        out = out.join(medians, list(group), "left")
+        out = join_sized(out, medians, group)
         stats[c] = F.col(f"__g_{c}")
     return out.select(
         *[F.coalesce(nan_to_null(c), stats[c]).alias(c) if c in stats else F.col(c) for c in df.columns]

@@ -17,7 +17,7 @@ def rolling_mean_rows(
     """Mean over slot values in ``(t − period, t]``, one result per input row."""
     return over_series(
         df,
-        lambda w: [F.avg(column).over(w.rangeBetween(-(period - 1), 0)).alias(name)],
+        lambda w: [f"avg({column}) OVER ({w} RANGE BETWEEN {period - 1} PRECEDING AND CURRENT ROW) AS {name}"],
         before=period - 1,
         layout=layout,
         slots=True,

@@ -12,11 +12,15 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.functions import text
+
 _POS, _BLK = "__pos", "__blk"
+BROADCAST_LIMIT = 64 * 1024 * 1024
+_FIXED_BYTES = {T.ShortType: 2, T.IntegerType: 4, T.LongType: 8, T.FloatType: 4, T.DoubleType: 8}
 
 
 @dataclass(frozen=True)
@@ -38,14 +42,27 @@ def is_short(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, (T.ByteType, T.ShortType))
 
 
+def join_sized(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join a table that is usually far smaller than ``df``.
+
+    Its rows are counted first, which reads key columns only. A table within the limit is
+    broadcast, so the wide side is not shuffled; a larger one is joined by shuffle, where the
+    adaptive planner splits hot keys.
+    """
+    keys = list(keys)
+    width = sum(_FIXED_BYTES.get(type(f.dataType), 64) + 8 for f in small.schema.fields)
+    if small.select(*keys).count() * width <= BROADCAST_LIMIT:
+        small = F.broadcast(small)
+    return df.join(small, keys, how)
+
+
 def attach_group_stats(df: DataFrame, keys: Sequence[str], stats: Sequence[Column]) -> DataFrame:
     """Put per-group aggregates on every row.
 
-    Aggregation combines on the map side and the join back may be broadcast or split by the
-    adaptive planner, so a group that holds most rows is never gathered in one task.
+    Aggregation combines on the map side, so a group that holds most rows is never gathered in
+    one task.
     """
-    keys = list(keys)
-    return df.join(df.groupBy(*keys).agg(*stats), keys, "left")
+    return join_sized(df, df.groupBy(*keys).agg(*stats), keys)
 
 
 def with_position(
@@ -100,7 +117,7 @@ def position_by_int(df: DataFrame, group: Sequence[str], order: str, name: str)
 
 def over_series(
     df: DataFrame,
-    build: Callable[[WindowSpec], Sequence[Column]],
+    build: Callable[[str], Sequence[str]],
     *,
     before: int = 0,
     after: int = 0,
@@ -109,33 +126,33 @@ def over_series(
 ) -> DataFrame:
     """Add window expressions along each series.
 
-    ``build`` gets the ordered window; its frames may reach ``before`` rows back and ``after``
-    rows ahead. With ``slots`` the reach is in values of the order column (range frames).
+    ``build`` gets the text of the ordered window and returns SQL expressions with aliases; their
+    frames may reach ``before`` rows back and ``after`` rows ahead. With ``slots`` the reach is in
+    values of the order column (range frames).
     """
     keys, order, bits = list(layout.keys), layout.order, layout.block_bits
     if is_short(df, order):
-        return df.select("*", *build(Window.partitionBy(*keys).orderBy(order)))
+        return df.selectExpr("*", *build(f"PARTITION BY {', '.join(keys)} ORDER BY {order}"))
     if slots or layout.dense:
         placed = df.withColumn(_POS, F.col(order))
     else:
         placed = position_by_int(df, keys, order, _POS)
-    pos = F.col(_POS)
-    home = F.shiftright(pos, bits)
-    first = F.greatest(F.shiftright(pos - after, bits), F.least(home, F.lit(0)))
-    last = F.shiftright(pos + before, bits)
-    blocks = placed.withColumn(_BLK, F.explode(F.sequence(first, last)) if before or after else home)
-    w = Window.partitionBy(*keys, _BLK).orderBy(order)
-    out = blocks.select("*", *build(w)).where(F.col(_BLK) == home)
-    return out.drop(_POS, _BLK)
+    home = f"shiftright({_POS}, {bits})"
+    if before or after:
+        first = f"greatest(shiftright({_POS} - {after}, {bits}), least({home}, 0))"
+        last = f"shiftright({_POS} + {before}, {bits})"
+        blocks = placed.selectExpr("*", f"explode(sequence({first}, {last})) AS {_BLK}")
+    else:
+        blocks = placed.selectExpr("*", f"{home} AS {_BLK}")
+    window = f"PARTITION BY {', '.join([*keys, _BLK])} ORDER BY {order}"
+    return blocks.selectExpr("*", *build(window)).where(f"{_BLK} = {home}").drop(_POS, _BLK)
 
 
-def shifted(column: str | Column, steps: int, w: WindowSpec) -> Column:
-    """Value ``steps`` rows back (negative: ahead)."""
-    if steps > 0:
-        return F.lag(column, steps).over(w)
-    if steps < 0:
-        return F.lead(column, -steps).over(w)
-    return F.col(column) if isinstance(column, str) else column
+def shifted(column: str, steps: int, window: str) -> str:
+    """SQL for the value ``steps`` rows back (negative: ahead)."""
+    if steps == 0:
+        return text.name(column)
+    return f"{'lag' if steps > 0 else 'lead'}({text.name(column)}, {abs(steps)}) OVER ({window})"
 
 
 def shift_columns(
@@ -146,7 +163,7 @@ def shift_columns(
     ahead = max([-s for *_, s in shifts] + [0])
     return over_series(
         df,
-        lambda w: [shifted(c, s, w).alias(n) for n, c, s in shifts],
+        lambda w: [f"{shifted(c, s, w)} AS {text.name(n)}" for n, c, s in shifts],
         before=back,
         after=ahead,
         layout=layout,

@@ -29,12 +29,17 @@ def query(name: str, sql: str | None = None):
 
 def r(column: str | Column, digits: int = 6) -> Column:
     """Rounded for comparison; never minus zero."""
-    c = F.col(column) if isinstance(column, str) else column
-    return F.round(c + F.lit(SHIFT), digits) + F.lit(0.0)
+    if isinstance(column, str):
+        return F.expr(_rounded(column, digits))
+    return F.round(column + F.lit(SHIFT), digits) + F.lit(0.0)
+
+
+def _rounded(name: str, digits: int) -> str:
+    return f"round(`{name}` + {SHIFT!r}D, {digits}) + 0.0D"
 
 
 def rn(*names: str) -> list[Column]:
-    return [r(n).alias(n) for n in names]
+    return [F.expr(f"{_rounded(n, 6)} AS `{n}`") for n in names]
 
 
 def s(expr: str, digits: int = 6) -> str:

@@ -6,38 +6,46 @@ Model outputs: ``regress_k``, ``logits_k``, ``sma_3``/``sma_6`` (steps), ``wide4
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from tickloom.functions.arrays import argmax_class, array_mean, step
-from tickloom.functions.scalars import (
-    SHRINK_PREDICT,
-    SHRINK_TRAIN,
-    SHRINK_WIDE_TEST,
-    magnitude_class,
-    shrink_by_class,
-)
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+
+from tickloom.functions import text
 from tickloom.operators.metrics import LossTerm, composite_loss
-from tickloom.schema import LEAD_STEPS, SIGNED_LEAD_STEPS, lead_name, signed_lead_name
+from tickloom.schema import FEATURES, LEAD_STEPS, SIGNED_LEAD_STEPS, lead_name, signed_lead_name
 
 # Units of the outputs of each multi-head version.
 SCALE = {9: 1.0, 10: 1.0, 11: 100.0, 12: 100.0, 13: 10.0}
 
 
+# Steps of the short head, and the middle of the 21-step head.
+SHORT_STEPS = 5
+CENTRE_STEP = 10
+
+
+def step_mean(k: int) -> str:
+    """Mean over the steps of the short head of responder 3 or 6."""
+    return f"({text.total([text.item(f'sma_{k}', i) for i in range(SHORT_STEPS)])} / {SHORT_STEPS})"
+
+
 def _y(k: int) -> str:
     return f"responder_{k}"
 
 
+def _scaled(column: str, scale: float) -> str:
+    return f"({text.name(column)} / {text.number(scale)})"
+
+
 def _classes(targets) -> tuple:
-    return tuple((F.col(f"logits_{k}"), magnitude_class(_y(k))) for k in targets)
+    return tuple((f"logits_{k}", text.magnitude_class(_y(k))) for k in targets)
 
 
 def _pairs(prefix: str, targets, scale: float) -> tuple:
-    return tuple((F.col(f"{prefix}_{k}"), F.col(_y(k)) / scale) for k in targets)
+    return tuple((f"{prefix}_{k}", _scaled(_y(k), scale)) for k in targets)
 
 
 def _steps(prediction: str, targets: list[str], scale: float) -> tuple:
-    return tuple((step(prediction, i), F.col(t) / scale) for i, t in enumerate(targets))
+    return tuple((text.item(prediction, i), _scaled(t, scale)) for i, t in enumerate(targets))
 
 
 def _fast_targets(k: int, version: int) -> list[str]:
@@ -46,17 +54,17 @@ def _fast_targets(k: int, version: int) -> list[str]:
     return [first] + [lead_name(_y(k), i) for i in LEAD_STEPS]
 
 
-def train_loss(version: int) -> tuple[list[LossTerm], dict[str, float]]:
+def train_loss(version: int, features: Sequence[str] = FEATURES) -> tuple[list[LossTerm], dict[str, float]]:
     """Named losses and the weights of their total."""
     if version == 3:
-        pairs = tuple((F.col(f"regress_{k}"), F.col(_y(k))) for k in range(9))
-        extra = tuple((F.col(f"pred_{c}"), F.col(c)) for c in ("feature_00", "feature_01", "feature_02", "feature_03"))
+        pairs = tuple((f"regress_{k}", _y(k)) for k in range(9))
+        extra = tuple((f"pred_{c}", c) for c in features)
         terms = [LossTerm("loss_rsq", (("r2", pairs),)), LossTerm("loss_mse", (("mse", pairs + extra),))]
         return terms, {"loss_rsq": 1.0, "loss_mse": 1e-4}
     scale = SCALE[version]
     if version in (9, 10):
         shrunk = tuple(
-            (shrink_by_class(f"regress_{k}", argmax_class(f"logits_{k}"), SHRINK_TRAIN), F.col(_y(k)))
+            (text.shrink_by_class(f"regress_{k}", text.argmax_class(f"logits_{k}"), text.SHRINK_TRAIN), _y(k))
             for k in range(9)
         )
         terms = [
@@ -67,7 +75,7 @@ def train_loss(version: int) -> tuple[list[LossTerm], dict[str, float]]:
         return terms, {"loss_rsq": 1.0, "loss_mse": 1 / 2, "loss_xen": 1 / 4}
 
     mse_targets = range(3, 9) if version == 11 else range(9)
-    slow = ((array_mean("sma_3"), F.col(_y(3)) / scale), (array_mean("sma_6"), F.col(_y(6)) / scale))
+    slow = tuple((step_mean(k), _scaled(_y(k), scale)) for k in (3, 6))
     r5 = _steps("sma_3", _fast_targets(5, version), scale)
     r8 = _steps("sma_6", _fast_targets(8, version), scale)
     terms = [
@@ -85,9 +93,9 @@ def train_loss(version: int) -> tuple[list[LossTerm], dict[str, float]]:
         terms.append(LossTerm("loss_sma_rsq", (("r2", slow),)))
         return terms, total | {n: 1 / 5 for n in sma}
 
-    gap = lambda i: step("sma_3", i) - step("sma_6", i)
-    r2 = tuple((gap(i), F.col(t) / scale) for i, t in enumerate(_fast_targets(2, version)))
-    r0 = ((array_mean("sma_3") - array_mean("sma_6"), F.col(_y(0)) / scale),)
+    gap = lambda i: f"({text.item('sma_3', i)} - {text.item('sma_6', i)})"
+    r2 = tuple((gap(i), _scaled(t, scale)) for i, t in enumerate(_fast_targets(2, version)))
+    r0 = ((f"({step_mean(3)} - {step_mean(6)})", _scaled(_y(0), scale)),)
     terms += [
         LossTerm("loss_sma004_r2", (("mse", r2),), scale),
         LossTerm("loss_sma020_r0", (("mse", r0),), scale),
@@ -110,40 +118,40 @@ def train_loss(version: int) -> tuple[list[LossTerm], dict[str, float]]:
     return terms, total | {n: 1 / 14 for n in sma} | extra
 
 
-def composite_train_loss(df: DataFrame, version: int) -> DataFrame:
-    terms, total = train_loss(version)
+def composite_train_loss(df: DataFrame, version: int, features: Sequence[str] = FEATURES) -> DataFrame:
+    """One row per named loss; version 3 also predicts ``features``, as columns ``pred_<feature>``."""
+    terms, total = train_loss(version, features)
     return composite_loss(df, terms, total)
 
 
-def heads(version: int) -> dict[str, Column]:
+def heads(version: int) -> dict[str, str]:
     """Unscaled predictions of responder 6 by head: direct, averaged steps, centre step."""
-    scale = SCALE[version]
-    out = {"": F.col("regress_6") * scale, "sma_": array_mean("sma_6") * scale}
+    unit = text.number(SCALE[version])
+    out = {"": f"(regress_6 * {unit})", "sma_": f"({step_mean(6)} * {unit})"}
     if version == 12:
-        out["ll_"] = step("wide20_6", 10) * scale
+        out["ll_"] = f"({text.item('wide20_6', CENTRE_STEP)} * {unit})"
     return out
 
 
 def gated_r2_report(df: DataFrame, version: int) -> DataFrame:
     """R² loss of responder 6 for each head: raw, a tenth of it, and shrunk by predicted class."""
-    factors = SHRINK_WIDE_TEST if version == 12 else SHRINK_PREDICT
-    klass, y = argmax_class("logits_6"), F.col("responder_6")
+    factors = text.SHRINK_WIDE_TEST if version == 12 else text.SHRINK_PREDICT
+    klass = text.argmax_class("logits_6")
     terms = []
     for head, p in heads(version).items():
-        for variant, q in (("raw", p), ("kelly", p * 0.1), ("zerox", shrink_by_class(p, klass, factors))):
-            terms.append(LossTerm(f"loss_{head}{variant}_rsq", (("r2", ((q, y),)),)))
+        for variant, q in (("raw", p), ("kelly", f"({p} * 0.1D)"), ("zerox", text.shrink_by_class(p, klass, factors))):
+            terms.append(LossTerm(f"loss_{head}{variant}_rsq", (("r2", ((q, "responder_6"),)),)))
     return composite_loss(df, terms, {t.name: 1 / len(terms) for t in terms})
 
 
 def gated_pooled_report(df: DataFrame) -> DataFrame:
     """Version 11 test losses: shrunk direct heads of responders 3–8 and shrunk step means of 3 and 6."""
-    scale = SCALE[11]
-    klass = {k: argmax_class(f"logits_{k}") for k in range(3, 9)}
-    direct = tuple(
-        (shrink_by_class(F.col(f"regress_{k}") * scale, klass[k], SHRINK_PREDICT), F.col(_y(k))) for k in range(3, 9)
-    )
-    slow = tuple(
-        (shrink_by_class(array_mean(f"sma_{k}") * scale, klass[k], SHRINK_PREDICT), F.col(_y(k))) for k in (3, 6)
+    unit = text.number(SCALE[11])
+    gated = lambda p, k: (
+        text.shrink_by_class(f"{p} * {unit}", text.argmax_class(f"logits_{k}"), text.SHRINK_PREDICT),
+        _y(k),
     )
+    direct = tuple(gated(f"regress_{k}", k) for k in range(3, 9))
+    slow = tuple(gated(step_mean(k), k) for k in (3, 6))
     terms = [LossTerm("loss_rsq", (("r2", direct),)), LossTerm("loss_sma_rsq", (("r2", slow),))]
     return composite_loss(df, terms, {t.name: 1.0 for t in terms})

@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from tickloom.functions import arrays
 from tickloom.operators import features, metrics
 from tickloom.operators.series import BY_DAY_DENSE
 from tickloom.functions.scalars import zero_fill
@@ -236,7 +235,7 @@ def _outputs(spark, sf, version):
         df = features.responder_leads(df, BY_DAY_DENSE)
     df = zero_fill(df)
     if version == 3:
-        df = df.select("*", *[(0.9 * F.col(c)).alias(f"pred_{c}") for c in PANEL_FEATURES])
+        df = df.selectExpr("*", *[f"0.9D * {c} AS pred_{c}" for c in PANEL_FEATURES])
     return model_outputs(df, losses.SCALE.get(version, 1.0))
 
 
@@ -246,7 +245,7 @@ def _outputs(spark, sf, version):
 )
 def _(spark, sf):
     parts = [
-        losses.composite_train_loss(_outputs(spark, sf, v), v).select(F.lit(v).alias("version"), "name", *rn("loss"))
+        losses.composite_train_loss(_outputs(spark, sf, v), v, PANEL_FEATURES).select(F.lit(v).alias("version"), "name", *rn("loss"))
         for v in TRAIN_VERSIONS
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)

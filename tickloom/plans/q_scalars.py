@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.functions import arrays, scalars
+from tickloom.functions import arrays, scalars, text
 from tickloom.operators import features, lags, metrics, nulls
 from tickloom.operators.nulls import FillStrategy
 from tickloom.operators.series import BY_DAY_DENSE
@@ -124,7 +124,7 @@ def shrink_sql(p: str, k: str, factors) -> str:
     {s(shrink_sql('y', ARGMAX, (.01, .1, .25)))} AS wide_test FROM L""",
 )
 def _(spark, sf):
-    k = arrays.argmax_class("logits")
+    k = text.argmax_class("logits")
     return logit_table(spark, sf).select(
         "vec_id",
         r(scalars.shrink_by_class("y", k, scalars.SHRINK_TRAIN)).alias("train"),
@@ -139,12 +139,9 @@ def _(spark, sf):
     + f" SELECT {KEYS}, {s('pred_6 / 2.0')} AS halved, {s('pred_6 * 100 * 0.1')} AS wide, {s('pred_6 * 10 * 0.1')} AS narrow FROM Q",
 )
 def _(spark, sf):
-    p = F.col("pred_6")
+    scaled = {"halved": ("pred_6", 0.5), "wide": ("pred_6 * 100", 0.1), "narrow": ("pred_6 * 10", 0.1)}
     return predictions(panel(spark, sf)).select(
-        *INDEX,
-        r(scalars.blend([(p, 0.5)])).alias("halved"),
-        r(scalars.blend([(p * 100, 0.1)])).alias("wide"),
-        r(scalars.blend([(p * 10, 0.1)])).alias("narrow"),
+        *INDEX, *[r(scalars.blend([part])).alias(n) for n, part in scaled.items()]
     )
 
 
@@ -219,7 +216,7 @@ def _(spark, sf):
     bound = df.groupBy("time_id").agg(F.avg("feature_00").alias("f")).agg(F.max(F.abs("f")).alias("m"))
     return df.select(
         *INDEX,
-        r(scalars.clamp(F.col("feature_00") / 10.0)).alias("clamped"),
+        r(scalars.clamp("feature_00 / 10.0D")).alias("clamped"),
         r(scalars.clamp("feature_00", bound.select("m").scalar())).alias("scaled"),
     )
 
@@ -256,8 +253,8 @@ def _(spark, sf):
     df = scalars.zero_fill(features.responder_wide_targets(panel(spark, sf), BY_DAY_DENSE))
     out = []
     for c, k in V12_BLOCKS:
-        names = [n for n, _ in _block_leads(c, k)]
-        out.append(r(sum([F.col(n) for n in names[1:]], F.col(names[0])) / float(len(names))).alias(f"mean_{c}_{k}"))
+        names = [text.name(n) for n, _ in _block_leads(c, k)]
+        out.append(r(F.expr(f"{text.total(names)} / {len(names)}")).alias(f"mean_{c}_{k}"))
     return df.select(*INDEX, *out)
 
 
@@ -296,7 +293,7 @@ _X = ["weight", *PANEL_FEATURES]
 )
 def _(spark, sf):
     m = model_matrix(panel(spark, sf), _X, RESPONDERS, INDEX)
-    ranked = lambda c: arrays.array_sum(F.transform(F.col(c), lambda x, i: x.cast("double") * (i + 1)))
+    ranked = lambda c: F.expr(text.array_sum(f"transform({c}, (x, i) -> CAST(x AS DOUBLE) * (i + 1))"))
     return m.select(
         *INDEX,
         F.size("X").alias("n_x"),

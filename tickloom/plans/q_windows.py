@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.functions import scalars
+from tickloom.functions import scalars, text
 from tickloom.functions.arrays import array_mean
 from tickloom.operators import chunks, features, lags, select
 from tickloom.operators.series import BY_DAY_DENSE
@@ -232,7 +232,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     raw = predictions(settled_panel(spark, sf))
-    gated = scalars.shrink_by_class("pred_6", scalars.magnitude_class("responder_6"), scalars.SHRINK_PREDICT)
+    gated = scalars.shrink_by_class("pred_6", text.magnitude_class("responder_6"), text.SHRINK_PREDICT)
     censored = raw.select(*INDEX, gated.alias("pred_6_censored"))
     return select.attach_by_key(raw.select(*INDEX, "pred_6"), censored, ["pred_6_censored"]).select(
         *INDEX, *rn("pred_6", "pred_6_censored")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from tickloom.functions import text
 from tickloom.operators.series import BY_DAY_DENSE, over_series, with_position
 from tickloom.schema import RESPONDERS
+from tickloom.sources.panel import scan_panel, write_partitioned_cache
 
 PANEL_FEATURES = [f"feature_{i:02d}" for i in range(4)]
 # Price and quantity scales of the two signals, class centres of the made logits.
@@ -14,7 +17,7 @@ PRICE_SCALE = 52500.0
 QUANTITY_SCALE = 25.5
 CLASS_CENTRES = (0.03, 0.105, 0.205, 0.4)
 
-_staged: dict[tuple[str, str], str] = {}
+_staged: dict[tuple[str, str], tuple[str, StructType]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +30,9 @@ def base_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``date_id`` and ``symbol_id`` are smallint, which bounds cross sections and day lists by
     type. ``time_id`` is an int and grows with the data, so series are handled in blocks.
     """
-    staged = _staged.get((spark.sparkContext.applicationId, sf_dir))
-    if staged:
-        return spark.read.parquet(staged).select("date_id", "time_id", "symbol_id", "weight", *PANEL_FEATURES, "sig_b")
+    staged = _scan_staged(spark, sf_dir)
+    if staged is not None:
+        return staged.select("date_id", "time_id", "symbol_id", "weight", *PANEL_FEATURES, "sig_b")
     li = table(spark, sf_dir, "lineitem")
     keyed = li.select(
         ((F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate") - 1).cast("smallint").alias("date_id"),
@@ -59,10 +62,10 @@ def base_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def panel(spark: SparkSession, sf_dir: str, responders: bool = True) -> DataFrame:
     """The dense panel. Responders are forward averages over 4, 20 and 120 rows of two signals."""
-    staged = _staged.get((spark.sparkContext.applicationId, sf_dir))
-    if staged:
+    staged = _scan_staged(spark, sf_dir)
+    if staged is not None:
         cols = ["date_id", "time_id", "symbol_id", "weight", *PANEL_FEATURES, *(RESPONDERS if responders else [])]
-        return spark.read.parquet(staged).select(*cols)
+        return staged.select(*cols)
     base = base_panel(spark, sf_dir)
     if not responders:
         return base.drop("sig_b")
@@ -71,32 +74,36 @@ def panel(spark: SparkSession, sf_dir: str, responders: bool = True) -> DataFram
 
 def _with_responders(base: DataFrame) -> DataFrame:
     def forward_means(w):
-        out = []
-        for k in (4, 20, 120):
-            frame = w.rowsBetween(0, k - 1)
-            out += [F.avg("feature_03").over(frame).alias(f"__a{k}"), F.avg("sig_b").over(frame).alias(f"__b{k}")]
-        return out
+        return [
+            f"avg({c}) OVER ({w} ROWS BETWEEN CURRENT ROW AND {k - 1} FOLLOWING) AS __{p}{k}"
+            for k in (4, 20, 120)
+            for p, c in (("a", "feature_03"), ("b", "sig_b"))
+        ]
 
     means = over_series(base, forward_means, after=119, layout=BY_DAY_DENSE)
     responder = {}
     for i, k in enumerate((20, 120, 4)):
-        a, b = F.col(f"__a{k}"), F.col(f"__b{k}")
-        responder[i], responder[i + 3], responder[i + 6] = a - b, a, b
-    return means.select(*base.columns, *[responder[i].alias(f"responder_{i}") for i in range(9)])
+        responder |= {i: f"__a{k} - __b{k}", i + 3: f"__a{k}", i + 6: f"__b{k}"}
+    return means.selectExpr(*base.columns, *[f"{responder[i]} AS responder_{i}" for i in range(9)])
 
 
 def settled_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel with responders rounded to 9 digits, for steps that compare with a threshold."""
-    return panel(spark, sf_dir).withColumns({c: F.round(c, 9) for c in RESPONDERS})
+    df = panel(spark, sf_dir)
+    return df.selectExpr(*[f"round({c}, 9) AS {c}" if c in RESPONDERS else c for c in df.columns])
 
 
-def stage_panel(spark: SparkSession, sf_dir: str, path: str) -> str:
+def stage_panel(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
     """Write the panel once as a table partitioned by date; later calls in this session scan it."""
-    _with_responders(base_panel(spark, sf_dir)).hint("rebalance", "date_id").write.mode("errorifexists").partitionBy(
-        "date_id"
-    ).option("compression", "zstd").parquet(path)
-    _staged[(spark.sparkContext.applicationId, sf_dir)] = path
-    return path
+    df = _with_responders(base_panel(spark, sf_dir))
+    write_partitioned_cache(df, path)
+    _staged[(spark.sparkContext.applicationId, sf_dir)] = (path, df.schema)
+    return panel(spark, sf_dir)
+
+
+def _scan_staged(spark: SparkSession, sf_dir: str) -> DataFrame | None:
+    found = _staged.get((spark.sparkContext.applicationId, sf_dir))
+    return scan_panel(spark, *found) if found else None
 
 
 def slot_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,11 +127,7 @@ def slot_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def predictions(df: DataFrame) -> DataFrame:
     """Nine never-perfect predictions next to the panel's responders."""
-    return df.select("*", *[(0.6 * F.col(c) + 0.1 * F.col("feature_03")).alias(f"pred_{i}") for i, c in enumerate(RESPONDERS)])
-
-
-def _logits(value: Column) -> Column:
-    return F.array(*[2.0 - 8.0 * F.abs(F.abs(value * 0.9 + 0.02) - c) for c in CLASS_CENTRES])
+    return df.selectExpr("*", *[f"0.6D * {c} + 0.1D * feature_03 AS pred_{i}" for i, c in enumerate(RESPONDERS)])
 
 
 def model_outputs(df: DataFrame, scale: float) -> DataFrame:
@@ -133,17 +136,19 @@ def model_outputs(df: DataFrame, scale: float) -> DataFrame:
     ``regress_k`` (k 0..8), ``logits_k`` (4 classes), ``sma_3``/``sma_6`` (5 steps),
     ``wide4_k`` (29 steps), ``wide20_k`` (21 steps).
     """
-    f3 = F.col("feature_03")
-    cols = [((0.6 * F.col(c) + 0.1 * f3) / scale).alias(f"regress_{i}") for i, c in enumerate(RESPONDERS)]
-    cols += [_logits(F.col(f"responder_{k}")).alias(f"logits_{k}") for k in range(9)]
+    n = text.number
+    cols = [f"(0.6D * {c} + 0.1D * feature_03) / {n(scale)} AS regress_{i}" for i, c in enumerate(RESPONDERS)]
+    for k in range(9):
+        near = [f"2.0D - 8.0D * abs(abs(responder_{k} * 0.9D + 0.02D) - {n(c)})" for c in CLASS_CENTRES]
+        cols.append(f"array({', '.join(near)}) AS logits_{k}")
     for head, fast in ((3, "responder_5"), (6, "responder_8")):
-        cols.append(F.array(*[(0.5 * F.col(fast) + 0.1 * f3 + 0.01 * s) / scale for s in range(5)]).alias(f"sma_{head}"))
-    for n, step, heads, name in ((29, 0.002, (2, 5, 8), "wide4"), (21, 0.003, (0, 3, 6), "wide20")):
+        steps = [f"(0.5D * {fast} + 0.1D * feature_03 + {n(0.01 * i)}) / {n(scale)}" for i in range(5)]
+        cols.append(f"array({', '.join(steps)}) AS sma_{head}")
+    for count, gap, heads, name in ((29, 0.002, (2, 5, 8), "wide4"), (21, 0.003, (0, 3, 6), "wide20")):
         for k in heads:
-            cols.append(
-                F.array(*[(0.5 * F.col(f"responder_{k}") + step * s) / scale for s in range(n)]).alias(f"{name}_{k}")
-            )
-    return df.select("*", *cols)
+            steps = [f"(0.5D * responder_{k} + {n(gap * i)}) / {n(scale)}" for i in range(count)]
+            cols.append(f"array({', '.join(steps)}) AS {name}_{k}")
+    return df.selectExpr("*", *cols)
 
 
 def logit_table(spark: SparkSession, sf_dir: str) -> DataFrame:
