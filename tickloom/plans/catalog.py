@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
 
-# A shift far from any simple fraction: values that lie exactly half way between two rounded
-# results are then not decided by the order in which an engine adds numbers.
-SHIFT = 3.71234e-8
+# A shift far from any simple fraction, in units of the last kept digit: values that lie exactly
+# half way between two rounded results are then not decided by the order in which numbers add up.
+SHIFT = 0.0371234
 
 
 def query(name: str, sql: str | None = None):
@@ -28,14 +28,16 @@ def query(name: str, sql: str | None = None):
 
 
 def r(column: str | Column, digits: int = 6) -> Column:
-    """Rounded for comparison; never minus zero."""
+    """Rounded for comparison; NaN stays, and the result is never minus zero."""
     if isinstance(column, str):
         return F.expr(_rounded(column, digits))
-    return F.round(column + F.lit(SHIFT), digits) + F.lit(0.0)
+    unit = F.lit(float(10**digits))
+    return F.rint(column * unit + F.lit(SHIFT)) / unit + F.lit(0.0)
 
 
 def _rounded(name: str, digits: int) -> str:
-    return f"round(`{name}` + {SHIFT!r}D, {digits}) + 0.0D"
+    unit = f"{float(10**digits)!r}D"
+    return f"rint(`{name}` * {unit} + {SHIFT!r}D) / {unit} + 0.0D"
 
 
 def rn(*names: str) -> list[Column]:
@@ -43,7 +45,8 @@ def rn(*names: str) -> list[Column]:
 
 
 def s(expr: str, digits: int = 6) -> str:
-    return f"(round(({expr}) + {SHIFT!r}, {digits}) + 0.0)"
+    unit = f"CAST({10**digits} AS DOUBLE)"
+    return f"(round(({expr}) * {unit} + {SHIFT!r}) / {unit} + 0.0)"
 
 
 def sn(*names: str, prefix: str = "") -> str:
