@@ -17,6 +17,7 @@ Pair = tuple[str, str]
 # Multipliers of the prediction tried by the scale sweep, and reported quantiles.
 TEST_SCALES = (0.001, 0.003, 0.005, 0.01, 0.03, 0.05, 0.1, 0.2, 0.3, 0.5, 0.8, 1.0, 1.25, 1.5)
 GATE_QUANTILES = (0.10, 0.25, 0.40)
+PAIRS_PER_SUM = 3
 
 
 def _squared_errors(pairs: Sequence[Pair]) -> str:
@@ -90,15 +91,15 @@ def batch_weighted_loss(
     )
 
 
-def _xen_sums(pairs: Sequence[Pair]) -> tuple[str, str]:
+def _xen_sums(pairs: Sequence[Pair]) -> tuple[list[str], list[str]]:
     parts = [text.cross_entropy_parts(a, k) for a, k in pairs]
-    return f"sum({text.total([n for n, _ in parts])})", f"sum({text.total([d for _, d in parts])})"
+    return [f"sum({n})" for n, _ in parts], [f"sum({d})" for _, d in parts]
 
 
 def weighted_cross_entropy(df: DataFrame, pairs: Sequence[Pair]) -> DataFrame:
     """Class-weighted, label-smoothed cross entropy over (logits, class) pairs."""
     num, den = _xen_sums(pairs)
-    return df.agg(F.expr(f"try_divide({num}, {den}) AS loss"))
+    return df.agg(F.expr(f"try_divide({text.total(num)}, {text.total(den)}) AS loss"))
 
 
 def grad_hess(df: DataFrame, prediction: str, target: str, weight: str = "weight") -> DataFrame:
@@ -135,11 +136,18 @@ class LossTerm:
     factor: float = 1.0
 
 
-def _part_sums(kind: str, pairs: Sequence[Pair], weight: str) -> tuple[str, str]:
+def _part_sums(kind: str, pairs: Sequence[Pair], weight: str) -> tuple[list[str], list[str]]:
+    """Sums whose totals are a part's numerator and denominator.
+
+    A part with many targets is spread over several sums: one huge expression would exceed what
+    the JVM compiles.
+    """
+    pieces = [pairs[i : i + PAIRS_PER_SUM] for i in range(0, len(pairs), PAIRS_PER_SUM)]
     if kind == "r2":
-        return r2_sums(pairs, weight)
+        sums = [r2_sums(p, weight) for p in pieces]
+        return [n for n, _ in sums], [d for _, d in sums]
     if kind == "mse":
-        return f"sum({_squared_errors(pairs)})", f"count(1) * {len(pairs)}"
+        return [f"sum({_squared_errors(p)})" for p in pieces], [f"count(1) * {len(pairs)}"]
     if kind == "xen":
         return _xen_sums(pairs)
     raise ValueError(f"unknown loss kind {kind}")
@@ -149,14 +157,18 @@ def composite_loss(
     df: DataFrame, terms: Sequence[LossTerm], total: dict[str, float], weight: str = "weight"
 ) -> DataFrame:
     """All named losses and their weighted total from one aggregation; one row per loss."""
-    aggregates, values = [], {}
-    for i, term in enumerate(terms):
+    aggregates: dict[str, str] = {}
+
+    def named(sums: list[str]) -> str:
+        return text.total([aggregates.setdefault(e, f"__s{len(aggregates)}") for e in sums])
+
+    values = {}
+    for term in terms:
         ratios = []
-        for j, (kind, pairs) in enumerate(term.parts):
+        for kind, pairs in term.parts:
             num, den = _part_sums(kind, pairs, weight)
-            aggregates += [F.expr(f"{num} AS __n{i}_{j}"), F.expr(f"{den} AS __d{i}_{j}")]
-            ratios.append(f"try_divide(__n{i}_{j}, __d{i}_{j})")
+            ratios.append(f"try_divide({named(num)}, {named(den)})")
         values[term.name] = f"({text.total(ratios)} * {text.number(term.factor)})"
     cells = [(f"'{n}'", v) for n, v in values.items()]
     cells.append(("'total'", text.total([f"{values[n]} * {text.number(f)}" for n, f in total.items()])))
-    return _rows(df.agg(*aggregates), "name", cells)
+    return _rows(df.agg(*[F.expr(f"{e} AS {n}") for e, n in aggregates.items()]), "name", cells)
