@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.series import join_sized
+
 
 def _bin(v: Column) -> Column:
     """Bin number that never decreases with the value: even near zero, logarithmic further out."""
@@ -57,9 +59,14 @@ def exact_quantiles(df: DataFrame, value: Column, qs: Sequence[float], group: Se
             *keys, "__b", "__t.q", "__t.side", "__t.frac", (F.col("__t.rank") - F.col("__before")).alias("__offset")
         )
     )
+    wanted = targets.select(*keys, "__b").distinct()
+    if group:
+        near = join_sized(data, wanted, [*keys, "__b"], "left_semi")
+    else:
+        # At most two bins per quantile.
+        near = data.join(F.broadcast(wanted), [*keys, "__b"], "left_semi")
     near = (
-        data.join(targets.select(*keys, "__b").distinct(), [*keys, "__b"], "left_semi")
-        .groupBy(*keys, "__b", "__v")
+        near.groupBy(*keys, "__b", "__v")
         .agg(F.count(F.lit(1)).alias("__n"))
     )
     in_bin = Window.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
