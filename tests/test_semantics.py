@@ -208,7 +208,7 @@ def test_column_counts(version, n_x, n_y):
 
 
 def test_full_width_panel_builds(spark):
-    """All 79 features and the reference's key types, for the widest set."""
+    """All 79 features with smallint keys, for the widest set."""
     data = [(d, t, s) for d in range(2) for t in range(3) for s in range(2)]
     df = spark.createDataFrame(data, SHORT).select(
         "*",
@@ -244,3 +244,39 @@ def test_attach_by_key_ignores_row_order(spark):
     a = spark.createDataFrame([(0, t, 0, float(t)) for t in range(4)], f"{SHORT}, x double")
     b = a.orderBy(F.desc("time_id")).withColumn("y", F.col("x") * 2).drop("x")
     assert all(r.y == 2 * r.x for r in select.attach_by_key(a, b, ["y"]).collect())
+
+
+def test_package_functions_travel_with_tasks():
+    from pyspark import cloudpickle
+
+    assert "tickloom" in cloudpickle.list_registry_pickle_by_value()
+    assert b"tickloom.operators.models\x94\x8c\x06_solve" not in cloudpickle.dumps(models._solve)
+
+
+class FakeSession:
+    def __init__(self, master, folder):
+        self.sparkContext = type("Context", (), {"master": master})
+        self.conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: folder or default)})
+
+
+def test_shared_folder_follows_the_session():
+    from tickloom.session import shared_dir
+
+    a, b = (shared_dir(FakeSession("yarn", "hdfs:///shared/"), "x") for _ in range(2))
+    assert a.startswith("hdfs:///shared/x-") and a != b
+    assert "tickloom-" in shared_dir(FakeSession("local[2]", None), "x")
+    with pytest.raises(ValueError):
+        shared_dir(FakeSession("yarn", None), "x")
+
+
+def test_streamed_lag_carries_over_batches(spark, tmp_path):
+    """A series that spans micro-batches, with gaps in its slots."""
+    from tickloom.streaming import replay as st
+
+    data = [(0, t, 0, float(t)) for t in (0, 2, 3, 7, 8, 20, 21, 22)] + [(1, t, 0, float(t)) for t in (0, 5)]
+    df = spark.createDataFrame(data, "date_id smallint, time_id int, symbol_id smallint, feature_00 double")
+    src = st.stage_stream(df, str(tmp_path / "in"), files=4)
+    out = st.intraday_lag(st.read_staged(spark, src, batches=5), str(tmp_path / "work"), ["feature_00"])
+    want = rows(features.lagged_features(df, 1, ["feature_00"]).drop("feature_00"), "date_id", "time_id")
+    assert rows(out, "date_id", "time_id") == want
+    assert spark.read.parquet(str(tmp_path / "work" / "out")).select("batch").distinct().count() >= 3
