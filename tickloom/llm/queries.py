@@ -47,3 +47,23 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+
+
+@query("op4_bpe_word_table")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tickloom.llm.bpe import encode_documents
+
+    return encode_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op10_bounded_space_packing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from tickloom.llm.packing import pack
+
+    out = pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return out.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
