@@ -82,16 +82,18 @@ def near_dedup(
     text_col: str = "text",
     shingle: int = 5,
     threshold: tuple[int, int] = (80, 100),
-    slack: float = 0.16,
+    slack: float = 0.11,
 ) -> DataFrame:
     """Components of documents whose sets of word shingles have Jaccard similarity >= threshold.
 
     Words are runs without ASCII white space after lower-casing A-Z. Equal sets fold into one node
-    first, so copies of any number meet once. Bands of the packed signatures give candidates: every
-    member of a band meets the band's smallest node, the estimate must reach the threshold less
-    ``slack`` (eight standard errors), and the full sets decide. Within bands whose members are then
-    still in different components, members of different components are compared in blocks, so no link
-    depends on the choice of the smallest node, and no band is capped.
+    first, so copies of any number meet once. Bands of the packed signatures give candidates, the
+    estimate of a candidate must reach the threshold less
+    ``slack`` (five standard errors), and the full sets decide. First each node meets the smallest node
+    of the bands that it shares with it most often. Within bands whose members are then still in
+    different components, members of different components are compared in blocks, each pair in the
+    first band that it shares, so no link depends on the choice of the smallest node, and no band is
+    capped.
 
     Result, one row per input row: ``doc_id``, ``n_shingles``, ``component_id`` (smallest doc_id
     reachable), ``kept`` (doc_id = component_id). Texts without words (null, empty, white space) have
@@ -129,7 +131,7 @@ def near_dedup(
     nodes, nodes_path = stage(groups.where("node is not null").groupBy("node").agg(F.first("sig").alias("sig")), "near-nodes")
 
     j = F.sequence(F.lit(0), F.lit(BANDS - 1))
-    bands = nodes.select("node", F.explode(F.transform(j, lambda k: F.xxhash64(k, F.col("sig").substr(k * ROWS + 1, F.lit(ROWS))))).alias("band"))
+    bands = nodes.select("node", F.posexplode(F.transform(j, lambda k: F.xxhash64(k, F.col("sig").substr(k * ROWS + 1, F.lit(ROWS))))).alias("j", "band"))
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1")
     members, members_path = stage(bands.join(shared, "band"), "near-members")
 
@@ -146,13 +148,13 @@ def near_dedup(
         for b in batches:
             if b.num_rows:
                 a, c = (np.frombuffer(b"".join(b.column(x).to_pylist()), np.uint64).reshape(b.num_rows, -1) for x in ("sa", "sb"))
-                est = similarity(a, c)
-                out = pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(est)], names=["a", "b", "est"])
-                yield out.filter(pa.array(est >= floor))
+                out = pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"])
+                yield out.filter(pa.array(similarity(a, c) >= floor))
 
-    star = members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    often = members.where("node != pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("k"))
+    star = often.groupBy("node").agg(F.max(F.struct("k", -F.col("pivot"))).alias("m")).select((-F.col("m.col2")).alias("a"), F.col("node").alias("b"))
     signed = star.join(signs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(signs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
-    near, near_path = stage(signed.mapInArrow(estimate, "a long, b long, est double"), "near-star")
+    near, near_path = stage(signed.mapInArrow(estimate, "a long, b long"), "near-star")
 
     def confirm(pairs: DataFrame, label: str) -> tuple[DataFrame, str]:
         """The pairs whose full sets are similar enough."""
@@ -172,19 +174,9 @@ def near_dedup(
         named = pairs.select("a", "b").join(bodies.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(bodies.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
         return stage(named.mapInArrow(check, "a long, b long"), label)
 
-    # First the best candidate of each node, which settles most of them; then only pairs that could join components.
-    best = near.groupBy("b").agg(F.max(F.struct(F.col("est"), -F.col("a"))).alias("m")).select((-F.col("m.col2")).alias("a"), "b")
-    first, first_path = confirm(best, "near-first")
+    first, first_path = confirm(near, "near-first")
     part, part_path = stage(components(first), "near-part")
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        """Pairs of different components."""
-        ca, cb = part.select(F.col("node").alias("a"), F.col("component").alias("ca")), part.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        return pairs.join(ca, "a", "left").join(cb, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-    tried = best.withColumn("tried", F.lit(True))
-    rest = apart(near.select("a", "b")).join(tried, ["a", "b"], "left").where("tried is null").select("a", "b")
-    rest = rest.unionByName(_within_bands(members, part, signs, floor)).distinct()
+    rest = _within_bands(members, part, signs, floor).join(near.withColumn("tried", F.lit(True)), ["a", "b"], "left").where("tried is null")
     second, second_path = confirm(rest, "near-second")
     whole, _ = stage(components(first.unionByName(second)), "near-components")
     named, _ = stage(groups.where("node is not null").select("fp", "node").join(whole, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "near-named")
@@ -208,12 +200,12 @@ def _result(rows: DataFrame, named: DataFrame | None, id_col: str) -> DataFrame:
 
 
 def _within_bands(members: DataFrame, part: DataFrame, signs: DataFrame, floor: float) -> DataFrame:
-    """Likely pairs of one band that neither is the band's pivot nor lies within one component.
+    """Likely pairs that share a band and lie in different components.
 
     The band's largest component need not meet itself. Its members lie in blocks of BLOCK; the
     others in blocks of their own, which meet each other and all blocks of the largest component.
     """
-    rows = members.where("n > 2 and node != pivot").join(part, "node", "left").select("band", "node", F.coalesce("component", "node").alias("c"))
+    rows = members.join(part, "node", "left").select("band", "j", "node", F.coalesce("component", "node").alias("c"))
     sizes = rows.groupBy("band", "c").agg(F.count(F.lit(1)).alias("k"))
     mixed = sizes.groupBy("band").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("m"), F.count(F.lit(1)).alias("cs")).where("cs > 1")
     blocks = F.greatest(F.ceil(F.col("top.k") / BLOCK), F.lit(1)).cast("int").alias("p"), F.greatest(F.ceil((F.col("m") - F.col("top.k")) / BLOCK), F.lit(1)).cast("int").alias("q")
@@ -226,14 +218,15 @@ def _within_bands(members: DataFrame, part: DataFrame, signs: DataFrame, floor:
         F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("x"), F.greatest(x, F.col("own")).alias("y"))),
         F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda y: F.struct(F.col("own").alias("x"), (F.col("q") + y).alias("y"))),
     )
-    work = rows.withColumn("w", F.explode(F.when(F.col("is_main"), of_main).otherwise(of_other))).select("node", "c", "is_main", F.xxhash64("band", "w.x", "w.y").alias("piece"))
+    work = rows.withColumn("w", F.explode(F.when(F.col("is_main"), of_main).otherwise(of_other))).select("node", "c", "is_main", "j", F.xxhash64("band", "w.x", "w.y").alias("piece"))
     work, _ = stage(work, "near-work")
     groups = max(1, work.count() // 20_000)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("piece", kind="stable")
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint64).reshape(len(pdf), -1)
-        node, comp, main, piece = (pdf[c].to_numpy() for c in ("node", "c", "is_main", "piece"))
+        bands = np.frombuffer(sig, np.uint8).reshape(len(pdf), BANDS, ROWS)
+        node, comp, main, piece, band = (pdf[c].to_numpy() for c in ("node", "c", "is_main", "piece", "j"))
         cuts = np.flatnonzero(np.diff(piece)) + 1
         out = []
         for lo, hi in zip([0, *cuts], [*cuts, len(pdf)], strict=True):
@@ -243,11 +236,12 @@ def _within_bands(members: DataFrame, part: DataFrame, signs: DataFrame, floor:
                 j = np.arange(lo, hi)
                 j = j[(comp[lo:hi] != comp[i]) & (main[lo:hi] | (j > i))]
                 j = j[similarity(sig[j], sig[i]) >= floor]
+                j = j[(bands[j] == bands[i]).all(axis=2).argmax(axis=1) == band[i]]
                 out += [(min(node[i], node[x]), max(node[i], node[x])) for x in j]
         return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
 
     keyed = work.join(signs, "node").withColumn("g", F.pmod(F.col("piece"), F.lit(groups)))
-    return keyed.groupBy("g").applyInPandas(compare, "a long, b long").distinct()
+    return keyed.groupBy("g").applyInPandas(compare, "a long, b long")
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
