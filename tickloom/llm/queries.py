@@ -67,3 +67,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
     return out.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query("op5_toxicity_chain")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm.toxicity import toxicity
+
+    out = toxicity(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return out.drop("text")
