@@ -89,10 +89,10 @@ def near_dedup(
     Words are runs without ASCII white space after lower-casing A-Z. Equal sets fold into one node
     first, so copies of any number meet once. Bands of the packed signatures give candidates, the
     estimate of a candidate must reach the threshold less
-    ``slack`` (five standard errors), and the full sets decide. First each node meets the smallest node
-    of the bands that it shares with it most often. Within bands whose members are then still in
+    ``slack`` (five standard errors), and the full sets decide. First each node meets one pivot:
+    of each band that member which shares most over all bands, of these the most frequent. Within bands whose members are then still in
     different components, members of different components are compared in blocks, each pair in the
-    first band that it shares, so no link depends on the choice of the smallest node, and no band is
+    first band that it shares, so no link depends on the choice of the pivot, and no band is
     capped.
 
     Result, one row per input row: ``doc_id``, ``n_shingles``, ``component_id`` (smallest doc_id
@@ -132,8 +132,12 @@ def near_dedup(
 
     j = F.sequence(F.lit(0), F.lit(BANDS - 1))
     bands = nodes.select("node", F.posexplode(F.transform(j, lambda k: F.xxhash64(k, F.col("sig").substr(k * ROWS + 1, F.lit(ROWS))))).alias("j", "band"))
-    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1")
+    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members, members_path = stage(bands.join(shared, "band"), "near-members")
+    # A band's pivot is its member with the most company over all bands: the text that copies vary.
+    company = members.groupBy("node").agg(F.sum("n").alias("company"))
+    known = members.join(company, "node")
+    pivots = known.groupBy("band").agg(F.max(F.struct("company", -F.col("node"))).alias("m")).select("band", (-F.col("m.col2")).alias("pivot"))
 
     met, met_path = stage(members.select("node").distinct(), "near-met")
     if met.isEmpty():
@@ -151,7 +155,7 @@ def near_dedup(
                 out = pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"])
                 yield out.filter(pa.array(similarity(a, c) >= floor))
 
-    often = members.where("node != pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("k"))
+    often = members.join(pivots, "band").where("node != pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("k"))
     star = often.groupBy("node").agg(F.max(F.struct("k", -F.col("pivot"))).alias("m")).select((-F.col("m.col2")).alias("a"), F.col("node").alias("b"))
     signed = star.join(signs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(signs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
     near, near_path = stage(signed.mapInArrow(estimate, "a long, b long"), "near-star")

@@ -76,7 +76,7 @@ def _batch(windows: list[tuple[int, list[tuple]]], extra: dict | None = None) ->
     arrays = [pa.array(v, pa.int64()) for v in (doc, start, length)] + [pa.array(ids, pa.binary())] + [pa.array(v, pa.int64()) for v in (total, seq, off)]
     names = [f.split()[0] for f in PIECES.split(", ")]
     for k, v in (extra or {}).items():
-        arrays.append(pa.array([v] * len(doc)))
+        arrays.append(pa.array([v] * len(doc), pa.int64()))
         names.append(k)
     return pa.RecordBatch.from_arrays(arrays, names=names)
 

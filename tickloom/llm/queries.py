@@ -75,3 +75,20 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = toxicity(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return out.drop("text")
+
+
+@query("op8_kd_tree_sharding")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm.sharding import shard
+
+    return shard(documents(spark, sf_dir))
+
+#: Key of the pseudonyms in the registered query; a user passes a secret of their own.
+PSEUDONYM_KEY = "tickloom-demonstration-key"
+
+
+@query("op9_feistel_pseudonyms")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm.pii import pseudonymize
+
+    return pseudonymize(documents(spark, sf_dir).select("doc_id", "text"), PSEUDONYM_KEY)

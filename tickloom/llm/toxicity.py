@@ -20,6 +20,8 @@ CATEGORIES = ("toxic_junk", "toxic_prose", "toxic")
 #: Most labelled documents that are used for fitting, words that become inputs, and folds.
 SAMPLE, INPUTS, FOLDS = 6_000, 256, 5
 _LETTERS = re.compile(r"[^\W\d_]+")
+#: Besides whole words, beginnings of so many letters are inputs, marked by a caret.
+BEGINNINGS = (4, 5, 6, 7)
 
 
 @dataclass(frozen=True)
@@ -45,7 +47,15 @@ def _words(text: str) -> set[str]:
     return {w for t in set(text.lower().split()) for w in _LETTERS.findall(t)}
 
 
-def _fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 25) -> np.ndarray:
+def _features(word: str) -> list[str]:
+    return [word, *("^" + word[:k] for k in BEGINNINGS if len(word) > k)]
+
+
+def _all_features(words: set[str]) -> set[str]:
+    return {f for w in words for f in _features(w)}
+
+
+def _fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, steps: int = 25) -> np.ndarray:
     """Logistic regression with a ridge on all but the bias, by Newton steps."""
     w = np.zeros(x.shape[1])
     if y.min() == y.max():  # only one class: a constant
@@ -67,20 +77,20 @@ def _fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int =
 def fit_chain(rows: list[tuple[set[str], tuple[int, ...]]], inputs: int = INPUTS, folds: int = FOLDS) -> Chain:
     """Fit on ``(words, categories)`` rows; the last category chooses the input words.
 
-    Words are ranked by the likelihood ratio of being in a text of the category. A later model sees
+    Words and beginnings are ranked by the likelihood ratio of being in a text of the category. A later model sees
     an earlier category's probability as it is out of fold, so that it learns how far to trust it.
     """
     y = np.array([r[1] for r in rows], float).reshape(len(rows), -1)
     target = y[:, -1] > 0
     pos, neg = Counter(), Counter()
     for (ws, _), t in zip(rows, target, strict=True):
-        (pos if t else neg).update(ws)
+        (pos if t else neg).update(_all_features(ws))
     n1, n0 = max(1, int(target.sum())), max(1, int((~target).sum()))
 
     def gain(w: str) -> float:
         a, b = pos[w], neg[w]
         p, q, m = a / n1, b / n0, (a + b) / (n1 + n0)
-        if p <= q or a < 5:
+        if a < 5 or a < 9 * b:  # too rare, or usual in clean texts as well
             return 0.0
         g = a * np.log(p / m) + (b * np.log(q / m) if b else 0.0)
         g += (n1 - a) * np.log((1 - p) / (1 - m)) if a < n1 else 0.0
@@ -92,7 +102,7 @@ def fit_chain(rows: list[tuple[set[str], tuple[int, ...]]], inputs: int = INPUTS
     at = {w: i for i, w in enumerate(words)}
     x = np.zeros((len(rows), len(words)))
     for i, (ws, _) in enumerate(rows):
-        x[i, [at[w] for w in ws if w in at]] = 1
+        x[i, [at[w] for w in _all_features(ws) if w in at]] = 1
     fold = np.arange(len(rows)) % folds
     weights, earlier = [], np.zeros((len(rows), 0))
     for k in range(y.shape[1]):
@@ -157,7 +167,7 @@ def score_toxicity(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_c
                 for w in set(t.decode().lower().split()):
                     hit = known.get(w)
                     if hit is None:
-                        hit = known[w] = tuple(at[p] for p in _LETTERS.findall(w) if p in at)
+                        hit = known[w] = tuple(at[f] for p in _LETTERS.findall(w) for f in _features(p) if f in at)
                     if hit:
                         x[i, list(hit)] = 1
                 if len(known) > 300_000:
