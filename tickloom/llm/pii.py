@@ -66,12 +66,15 @@ def _string(s: Column, key: str, kind: str, inverse: bool, first: Column | None
         mine = lambda j: (j < half) == (i % 2 == 0)
         kept = F.array_join(F.transform(F.filter(acc, lambda c, j: ~mine(j)), lambda c: c["v"].cast("string")), ",")
 
-        def shift(c: Column, j: Column) -> Column:
-            n = F.conv(F.substring(_digest(key, kind, i, F.concat_ws("|", kept, j.cast("string"))), 1, 7), 16, 10).cast("int")
-            v = F.pmod(c["v"] + (-n if inverse else n), c["mod"])
-            return F.struct(F.when(mine(j), v).otherwise(c["v"]).alias("v"), c["base"].alias("base"), c["mod"].alias("mod"), c["c"].alias("c"))
+        def shifted(digest: Column) -> Column:  # one digest per round; 32 shifts, then again from the first
+            def shift(c: Column, j: Column) -> Column:
+                n = F.conv(F.substr(digest, 2 * F.pmod(j, F.lit(32)) + 1, F.lit(2)), 16, 10).cast("int")
+                v = F.pmod(c["v"] + (-n if inverse else n), c["mod"])
+                return F.struct(F.when(mine(j), v).otherwise(c["v"]).alias("v"), c["base"].alias("base"), c["mod"].alias("mod"), c["c"].alias("c"))
 
-        return F.transform(acc, shift)
+            return F.transform(acc, shift)
+
+        return F.transform(F.array(_digest(key, kind, i, kept)), shifted)[0]
 
     rounds = F.sequence(F.lit(ROUNDS - 1), F.lit(0), F.lit(-1)) if inverse else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
     done = F.aggregate(rounds, cells, step)

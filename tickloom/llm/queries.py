@@ -92,3 +92,31 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickloom.llm.pii import pseudonymize
 
     return pseudonymize(documents(spark, sf_dir).select("doc_id", "text"), PSEUDONYM_KEY)
+
+
+@query("op6_quality_outliers")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm.quality import quality
+
+    return quality(documents(spark, sf_dir))
+
+
+@query("op3_crf_language")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm.language import identify
+
+    return identify(documents(spark, sf_dir))
+
+
+@query("op7_sparse_suffix_passages")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm.suffix import repeated_passages
+
+    return repeated_passages(documents(spark, sf_dir))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
