@@ -6,30 +6,42 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import texts
+from tickloom.llm.common import slices, texts
+from tickloom.llm.wordbpe import Codes
 
 #: Most documents and words per training chain that are used for fitting, steps, and hashed features.
 SAMPLE, CHAIN, STEPS, BATCH, FEATURES = 1_500, 160, 80, 384, 1 << 15
 #: Words per language in the lexicons.
 LEXICON = 300
 #: Distinct words whose scores a Python worker remembers, and chains that are summed over at once.
-WORDS, TOGETHER = 200_000, 4_096
+WORDS, TOGETHER = 200_000, 16_384
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def _features(word: str) -> list[int]:
-    """Hashed affixes and character n-grams of the letters of a word."""
-    w = f"^{word}$"
-    parts = {f"{n}:{w[i : i + n]}" for n in (2, 3, 4) for i in range(len(w) - n + 1)}
-    parts |= {f"p{word[:k]}" for k in (1, 2, 3)} | {f"s{word[-k:]}" for k in (1, 2, 3)}
-    return [xxhash.xxh32_intdigest(p) % FEATURES for p in sorted(parts)]
+def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed character n-grams of marked words (``^word$``, so affixes as well) and the word of each."""
+    codes = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le"), "<u4").astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
+    grams, owners = [], []
+    for n in (2, 3, 4):
+        m = len(codes) - n + 1
+        if m <= 0:
+            continue
+        h = np.full(m, np.uint64(n))
+        for j in range(n):
+            h = (h ^ codes[j : j + m]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        inside = owner[:m] == owner[n - 1 :]
+        grams.append((h[inside] % np.uint64(FEATURES)).astype(np.int64))
+        owners.append(owner[:m][inside])
+    return np.concatenate(grams), np.concatenate(owners)
 
 
 def _clean(token: str) -> str:
@@ -46,12 +58,22 @@ class Chain:
     moves: np.ndarray
     lexicon: dict[str, tuple[int, ...]] = field(default_factory=dict)
 
-    def scores(self, word: str) -> np.ndarray:
-        """Score of each label for one cleaned word; no letters score nothing."""
-        if not word:
-            return np.zeros(len(self.labels))
-        extra = [FEATURES + k for k in self.lexicon.get(word, ())]
-        return self.weights[_features(word) + extra].sum(axis=0)
+    def inputs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Features of cleaned words, lexicon entries among them, and the word of each."""
+        grams, owners = _features(words)
+        extra = [(FEATURES + k, i) for i, w in enumerate(words) for k in self.lexicon.get(w, ())]
+        if extra:
+            grams, owners = np.append(grams, [x for x, _ in extra]), np.append(owners, [i for _, i in extra])
+        return grams, owners
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Score of each label for cleaned words; a word without letters scores nothing."""
+        if not words or not self.labels:
+            return np.zeros((len(words), len(self.labels)))
+        grams, owners = self.inputs(words)
+        table = np.stack([np.bincount(owners, self.weights[grams, j], len(words)) for j in range(len(self.labels))], axis=1)
+        table[[i for i, w in enumerate(words) if not w]] = 0
+        return table
 
 
 def posteriors(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarray:
@@ -112,7 +134,6 @@ def fit(rows: list[tuple[str, str]], seed: int = 1) -> Chain:
     # Languages alike in the batches, whatever their shares.
     by = [[i for i, (_, y) in enumerate(lines) if y == label] for label in range(k)]
     by = [b for b in by if b]
-    index: dict[str, list[int]] = {}
     m, v = [np.zeros_like(model.weights), np.zeros_like(model.moves)], [np.zeros_like(model.weights), np.zeros_like(model.moves)]
     for step in range(1, STEPS + 1):
         chains = []
@@ -124,18 +145,13 @@ def fit(rows: list[tuple[str, str]], seed: int = 1) -> Chain:
         codes: dict[str, int] = {}
         at = np.array([codes.setdefault(w, len(codes)) for c in chains for w in c[0]])
         y = np.concatenate([c[1] for c in chains])
-        for w in codes:
-            if w not in index:
-                index[w] = _features(w) + [FEATURES + j for j in model.lexicon.get(w, ())]
-        flat = np.concatenate([index[w] for w in codes])
-        sizes = np.array([len(index[w]) for w in codes])
-        cut = np.cumsum(sizes) - sizes
-        emit = np.add.reduceat(model.weights[flat], cut, axis=0)
+        grams, owners = model.inputs(list(codes))
+        emit = np.stack([np.bincount(owners, model.weights[grams, j], len(codes)) for j in range(k)], axis=1)
         p = posteriors(emit[at], lengths, model.moves)
         gap = -p
         gap[np.arange(len(y)), y] += 1
         per_word = np.stack([np.bincount(at, gap[:, j], len(codes)) for j in range(k)], axis=1)
-        g0 = np.stack([np.bincount(flat, np.repeat(per_word[:, j], sizes), FEATURES + k) for j in range(k)], axis=1)
+        g0 = np.stack([np.bincount(grams, per_word[owners, j], FEATURES + k) for j in range(k)], axis=1)
         g0 = g0 / len(y) - 1e-6 * model.weights
         ends = np.cumsum(lengths)
         inner = np.ones(len(y), bool)
@@ -185,53 +201,26 @@ def predict(docs: DataFrame, model: Chain, id_col: str = "doc_id", text_col: str
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers: dict[str, int] = {}
-        table, known = np.zeros((1 << 12, k)), [False]
-        numbers[""] = 0
-        for b in batches:
-            total = np.zeros((b.num_rows, k))
-            many = np.zeros(b.num_rows)
-            waiting: list[tuple[np.ndarray, int]] = []
-            held = 0
-
-            def flush(waiting=waiting, total=total, many=many) -> None:
-                if not waiting:
-                    return
-                waiting.sort(key=lambda c: -len(c[0]))
-                lengths = np.array([len(c[0]) for c in waiting])
-                words = np.concatenate([c[0] for c in waiting])
-                p = posteriors(table[words], lengths, model.moves) * lettered[words][:, None]
+        table, lettered = np.zeros((0, k)), np.zeros(0, bool)
+        for b in slices(batches, "text", 4 << 20):
+            if len(numbers) > WORDS:
+                numbers, table, lettered = {}, np.zeros((0, k)), np.zeros(0, bool)
+            first = len(numbers)
+            number = Codes(numbers)
+            chains = [(np.fromiter(map(number.__getitem__, ws), np.int64, len(ws)), i) for i, t in enumerate(texts(b, "text")) for line in t.decode().split("\n") if (ws := line.split())]
+            numbers = number
+            new = [_clean(w) for w in islice(number, first, None)]
+            table, lettered = np.vstack([table, model.scores(new)]), np.append(lettered, np.array([bool(w) for w in new], bool))
+            total, many = np.zeros((b.num_rows, k)), np.zeros(b.num_rows)
+            chains.sort(key=lambda c: -len(c[0]))
+            for lo in range(0, len(chains) if k else 0, TOGETHER):
+                part = chains[lo : lo + TOGETHER]
+                lengths = np.array([len(c[0]) for c in part])
+                words, owner = np.concatenate([c[0] for c in part]), np.array([c[1] for c in part])
                 cut = np.cumsum(lengths) - lengths
-                owner = np.array([c[1] for c in waiting])
+                p = posteriors(table[words], lengths, model.moves) * lettered[words][:, None]
                 np.add.at(total, owner, np.add.reduceat(p, cut, axis=0))
                 np.add.at(many, owner, np.add.reduceat(lettered[words].astype(float), cut))
-                waiting.clear()
-
-            lettered = np.array(known)
-            for i, t in enumerate(texts(b, "text")):
-                if len(numbers) > WORDS:
-                    flush()
-                    numbers, table, known = {"": 0}, np.zeros((1 << 12, k)), [False]
-                for line in t.decode().split("\n"):
-                    codes = []
-                    for w in line.split():
-                        c = numbers.get(w)
-                        if c is None:
-                            c = numbers[w] = len(known)
-                            letters = _clean(w)
-                            if c >= len(table):
-                                table = np.vstack([table, np.zeros_like(table)])
-                            table[c] = model.scores(letters)
-                            known.append(bool(letters))
-                        codes.append(c)
-                    if codes and k:
-                        waiting.append((np.array(codes), i))
-                        held += len(codes)
-                if len(waiting) >= TOGETHER or held > 400_000:
-                    lettered = np.array(known)
-                    flush()
-                    held = 0
-            lettered = np.array(known)
-            flush()
             shares = total / np.maximum(many, 1)[:, None]
             best = np.where(many > 0, shares.argmax(axis=1) if k else 0, k)
             score = np.where(many > 0, shares.max(axis=1) if k else 0.0, 0.0)

@@ -18,7 +18,7 @@ from tickloom.llm.common import fresh, texts
 #: Categories in chain order; each is 0/1 in the table of labels or derived by ``derive`` below.
 CATEGORIES = ("toxic_junk", "toxic_prose", "toxic")
 #: Most labelled documents that are used for fitting, words that become inputs, and folds.
-SAMPLE, INPUTS, FOLDS = 6_000, 256, 5
+SAMPLE, INPUTS, FOLDS = 3_000, 256, 5
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Besides whole words, beginnings of so many letters are inputs, marked by a caret.
 BEGINNINGS = (4, 5, 6, 7)
