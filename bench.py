@@ -24,6 +24,7 @@ HEADLINE = [
     "lagged_features",
     "responder_signed_leads",
     "lag_responder_table",
+    "cached_lag_table",
     "write_partitioned_cache",
     "attach_prev_day_lags",
     "forward_sma",

@@ -280,3 +280,18 @@ def test_streamed_lag_carries_over_batches(spark, tmp_path):
     want = rows(features.lagged_features(df, 1, ["feature_00"]).drop("feature_00"), "date_id", "time_id")
     assert rows(out, "date_id", "time_id") == want
     assert spark.read.parquet(str(tmp_path / "work" / "out")).select("batch").distinct().count() >= 3
+
+
+def test_stream_rows_that_would_be_lost_stop_the_job(spark, tmp_path):
+    from tickloom.streaming.replay import stage_stream
+
+    for k, row in enumerate([(0, 90_000, 1), (40_000, 0, 1), (0, 0, -1)]):
+        with pytest.raises(Exception, match="does not fit its day|kept for the flush row"):
+            stage_stream(spark.createDataFrame([row], "date_id int, time_id int, symbol_id int"), str(tmp_path / f"s{k}"), files=1)
+
+
+def test_batch_without_loss_is_left_out(spark):
+    from tickloom.operators.metrics import batch_weighted_loss
+
+    df = spark.createDataFrame([(0, 1.0, 2.0, 1.0), (1, 1.0, 0.0, 1.0)], "date_id int, weight double, y double, p double")
+    assert batch_weighted_loss(df, [("p", "y")]).first().loss == pytest.approx(0.25)

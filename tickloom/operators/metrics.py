@@ -82,10 +82,13 @@ def r2_scale_sweep(
 def batch_weighted_loss(
     df: DataFrame, pairs: Sequence[Pair], weight: str = "weight", batch: Sequence[str] = ("date_id",)
 ) -> DataFrame:
-    """Mean of per-batch losses weighted by batch size; differs from the pooled loss."""
+    """Mean of per-batch losses weighted by batch size; differs from the pooled loss.
+
+    A batch without a loss (its targets weigh nothing) counts neither above nor below the line.
+    """
     per_batch = weighted_r2_loss(df, pairs, weight, batch)
     return per_batch.agg(
-        F.try_divide(F.sum(F.col("loss") * F.col("n")), F.sum("n")).alias("loss"),
+        F.try_divide(F.sum(F.col("loss") * F.col("n")), F.sum(F.when(F.col("loss").isNotNull(), F.col("n")))).alias("loss"),
         F.sum("n").alias("n"),
         F.count(F.lit(1)).alias("batches"),
     )

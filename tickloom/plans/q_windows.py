@@ -11,6 +11,7 @@ from tickloom.operators.series import BY_DAY_DENSE
 from tickloom.plans.catalog import KEYS, PANEL, PREDICTED, SETTLED, SLOTS, clean, query, r, rn, s, sn
 from tickloom.plans.q_scalars import COUNTDOWN, SERIES, class_sql, lead_sql, shrink_sql
 from tickloom.schema import INDEX, LAG_STEPS, RESPONDERS, SMA_RESPONDERS, lag_name, mean_name
+from tickloom.session import shared_dir
 from tickloom.sources.fixtures import PANEL_FEATURES, panel, predictions, settled_panel, slot_panel
 from tickloom.sources.panel import served_lags, served_test
 
@@ -99,6 +100,12 @@ def _(spark, sf):
     return lags.lag_responder_table(panel(spark, sf)).select(*INDEX, "lag_time_id", *rn(*SHIFTED))
 
 
+@query("cached_lag_table", LAG_TABLE + f" SELECT {KEYS}, lag_time_id, {sn(*SHIFTED)} FROM LT")
+def _(spark, sf):
+    table = lags.cached_lag_responders(panel(spark, sf), shared_dir(spark, "lag-cache"))
+    return table.select(*INDEX, "lag_time_id", *rn(*SHIFTED))
+
+
 @query("lag_tail_pivot", LAG_TABLE + TAILS + f" SELECT date_id, symbol_id, {sn(*_TAIL_NAMES)} FROM TP")
 def _(spark, sf):
     table = lags.lag_responder_table(panel(spark, sf))
