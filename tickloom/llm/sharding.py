@@ -100,7 +100,8 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         below = dict.fromkeys(plan, 0)
         while any(hi - lo > 1 for _, lo, hi, _ in plan.values()):
             wide = {k: v for k, v in plan.items() if v[2] - v[1] > 1}
-            table = spark.createDataFrame([(k, d, lo, -(-(hi - lo) // BINS), hi) for k, (d, lo, hi, _) in wide.items()], "node int, d string, lo long, width long, hi long")
+            values_ = ", ".join(f"({k}, '{d}', {lo}L, {-(-(hi - lo) // BINS)}L, {hi}L)" for k, (d, lo, hi, _) in wide.items())
+            table = spark.sql(f"SELECT * FROM VALUES {values_} AS t(node, d, lo, width, hi)")
             value = F.coalesce(*[F.when(F.col("d") == d, F.col(f"d_{d}")) for d in dims])
             binned = here.join(F.broadcast(table), "node").withColumn("v", value).where("v >= lo and v < hi")  # one row per part
             sums: dict[int, list] = {}
