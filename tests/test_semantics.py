@@ -282,14 +282,64 @@ def test_streamed_lag_carries_over_batches(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "work" / "out")).select("batch").distinct().count() >= 3
 
 
-def test_stream_rows_that_would_be_lost_stop_the_job(spark, tmp_path):
+def test_stream_rows_without_a_place_on_the_clock_stop_the_job(spark, tmp_path):
     from tickloom.streaming.replay import stage_stream
 
-    for k, row in enumerate([(0, 90_000, 1), (40_000, 0, 1), (0, 0, -1)]):
-        with pytest.raises(Exception, match="does not fit its day|kept for the flush row"):
+    for k, row in enumerate([(0, 1 << 22, 1), (1 << 20, 0, 1), (None, 0, 1), (0, None, 1)]):
+        with pytest.raises(Exception, match="no place on the clock"):
             stage_stream(spark.createDataFrame([row], "date_id int, time_id int, symbol_id int"), str(tmp_path / f"s{k}"), files=1)
 
 
+@pytest.mark.parametrize("batches", [2, 8])
+def test_streams_keep_late_slots_far_dates_and_any_symbol(spark, tmp_path, batches):
+    from tickloom.streaming import replay as st
+
+    rows = [(d, t, s, float(d + t + s)) for d in (0, 1, 2, 40_000) for t in (3_600, 90_000, 90_001) for s in (-1, 4)]
+    df = spark.createDataFrame(rows, "date_id int, time_id int, symbol_id int, x double")
+    src = st.stage_stream(df, str(tmp_path / "in"), files=8)
+    read = lambda: st.read_staged(spark, src, batches)
+    value = {r[:3]: r[3] for r in rows}
+    out = st.run_to_table(st.dedup(read()), str(tmp_path / "dedup")).collect()
+    assert sorted((r.date_id, r.time_id, r.symbol_id) for r in out) == sorted(value)
+    out = st.run_to_table(st.prev_day_lags(read(), read(), ["x"]), str(tmp_path / "lag")).collect()
+    assert len(out) == len(rows)
+    assert all(r.x_lag_1 == value.get((r.date_id - 1, r.time_id, r.symbol_id)) for r in out)
+    out = st.run_to_table(st.cross_section_means(read(), ["x"]), str(tmp_path / "mean")).collect()
+    assert {(r.date_id, r.time_id): r.mean_x for r in out} == {(d, t): d + t + 1.5 for d, t, _ in value}
+    out = st.run_to_table(st.rolling_means(read(), "x", 2), str(tmp_path / "roll")).collect()
+    got = {(r.date_id, r.time_id, r.symbol_id): r.rolling_mean for r in out}
+    assert all(got[k] == (v + value.get((k[0], k[1] - 1, k[2]), v)) / 2 for k, v in value.items())
+
+
+@pytest.mark.parametrize("kind", ["smallint", "int"])
+def test_rows_with_null_keys_stay(spark, kind):
+    from tickloom.operators.features import lagged_features
+    from tickloom.operators.rolling import rolling_mean_rows
+    from tickloom.operators.select import row_index
+    from tickloom.operators.series import BY_DAY, attach_group_stats
+
+    rows = [(0, 0, 1, 1.0), (0, 1, 1, 2.0), (0, None, 1, 9.0), (0, 0, None, 5.0), (0, 1, None, 7.0), (None, 0, 1, 3.0)]
+    df = spark.createDataFrame(rows, f"date_id {kind}, time_id {kind}, symbol_id {kind}, x double")
+    got = {tuple(r[:3]): r[4] for r in lagged_features(df, 1, ["x"], BY_DAY).select("date_id", "time_id", "symbol_id", "x", "x_lag_1").collect()}
+    assert got == {(0, 0, 1): None, (0, 1, 1): 1.0, (0, None, 1): None, (0, 0, None): None, (0, 1, None): 5.0, (None, 0, 1): None}
+    assert rolling_mean_rows(df, "x", 2).count() == len(rows)
+    ids = {tuple(r[:3]): r.row_id for r in row_index(df, ["date_id", "symbol_id"], "time_id").collect()}
+    assert ids == {(0, 0, 1): 0, (0, 1, 1): 1, (0, None, 1): None, (0, 0, None): 0, (0, 1, None): 1, (None, 0, 1): 0}
+    best = {tuple(r[:3]): r.best for r in attach_group_stats(df, ["date_id", "symbol_id"], [F.max("x").alias("best")]).collect()}
+    assert best[(0, 0, None)] == 7.0 and best[(None, 0, 1)] == 3.0 and len(best) == len(rows)
+
+
+def test_day_lags_in_one_shuffle(spark):
+    from tickloom.operators.lags import self_join_day_lags
+
+    df = spark.createDataFrame([(d, 0, 1, None if d == 2 else float(d)) for d in (0, 1, 2, 4)], "date_id smallint, time_id int, symbol_id smallint, x double")
+    out = self_join_day_lags(df, "x", 1)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted((r.date_id, r.x_d0, r.x_d1) for r in out.collect()) == [(1, 1.0, 0.0), (2, None, 1.0)]
+    assert out.schema["date_id"].dataType == df.schema["date_id"].dataType
+
+
+
 def test_batch_without_loss_is_left_out(spark):
     from tickloom.operators.metrics import batch_weighted_loss
 

@@ -75,16 +75,15 @@ def attach_prev_day_lags(df: DataFrame, lags: DataFrame) -> DataFrame:
 
 
 def self_join_day_lags(df: DataFrame, column: str, lags: int) -> DataFrame:
-    """A column next to its values on calendar dates d−1 … d−n at the same slot; inner joins."""
+    """A column next to its values on calendar dates d−1 … d−n at the same slot, where all of them exist.
+
+    Each row goes to the dates d … d+n that it is a lag of, and one aggregation per key puts them side by
+    side: one shuffle for any number of lags. Keys are unique; rows with a null key match nothing.
+    """
     day_type = df.schema["date_id"].dataType
-    base = df.select("date_id", "time_id", "symbol_id", F.col(column).alias(f"{column}_d0"))
-    out = base
-    for i in range(1, lags + 1):
-        shifted = base.select(
-            (F.col("date_id") + i).cast(day_type).alias("date_id"),
-            "time_id",
-            "symbol_id",
-            F.col(f"{column}_d0").alias(f"{column}_d{i}"),
-        )
-        out = out.join(shifted, ["date_id", "time_id", "symbol_id"])
-    return out
+    keyed = df.where(" AND ".join(f"{k} IS NOT NULL" for k in INDEX))
+    sent = keyed.select(*INDEX, F.col(column).alias("__v"), F.explode(F.sequence(F.lit(0), F.lit(lags))).alias("__k"))
+    sent = sent.withColumn("date_id", F.col("date_id").cast("int") + F.col("__k"))
+    values = [F.max(F.when(F.col("__k") == i, F.col("__v"))).alias(f"{column}_d{i}") for i in range(lags + 1)]
+    wide = sent.groupBy(*INDEX).agg(F.count(F.lit(1)).alias("__n"), *values).where(F.col("__n") == lags + 1)
+    return wide.drop("__n").withColumn("date_id", F.col("date_id").cast(day_type))

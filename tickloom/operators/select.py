@@ -65,7 +65,7 @@ def sample_dates(df: DataFrame, n: int, seed: int) -> DataFrame:
 
 def sample_by_dates(df: DataFrame, n: int, seed: int) -> DataFrame:
     """All rows of ``n`` sampled dates."""
-    return df.join(F.broadcast(sample_dates(df, n, seed)), "date_id", "left_semi")
+    return df.join(_sized(sample_dates(df, n, seed)), "date_id", "left_semi")
 
 
 def edge_rows_or_null_key(df: DataFrame, column: str, below: int) -> DataFrame:
@@ -81,7 +81,7 @@ def literal_columns(df: DataFrame, **values) -> DataFrame:
 
 
 def row_index(df: DataFrame, batch: Sequence[str], order: str, name: str = "row_id") -> DataFrame:
-    """0-based row number inside each batch, ordered by a key that is unique there."""
+    """0-based row number inside each batch, ordered by a key that is unique there; null where that key is null."""
     return position_by_int(df, batch, order, name).withColumn(name, F.col(name).cast("bigint"))
 
 

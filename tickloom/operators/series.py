@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,13 +48,14 @@ def join_sized(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str =
 
     Its rows are counted first, which reads key columns only. A table within the limit is
     broadcast, so the wide side is not shuffled; a larger one is joined by shuffle, where the
-    adaptive planner splits hot keys.
+    adaptive planner splits hot keys. A null key matches a null key.
     """
-    keys = list(keys)
+    keys, hidden = list(keys), {k: f"__k_{k}" for k in keys}
     width = sum(_FIXED_BYTES.get(type(f.dataType), 64) + 8 for f in small.schema.fields)
     if small.select(*keys).count() * width <= BROADCAST_LIMIT:
         small = F.broadcast(small)
-    return df.join(small, keys, how)
+    same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(F.col(n)) for k, n in hidden.items()])
+    return df.join(small.withColumnsRenamed(hidden), same, how).drop(*hidden.values())
 
 
 def attach_group_stats(df: DataFrame, keys: Sequence[str], stats: Sequence[Column]) -> DataFrame:
@@ -77,31 +79,32 @@ def with_position(
 
     Rows are counted per (group, coarse, fine) cell, cell starts come from running sums over
     the counts, and rows are numbered only inside their cell. Sorting by (coarse, fine) must
-    agree with ``order``. Key columns must not be null. The merge join finds the rows already
-    partitioned and sorted by cell from the numbering, so the rows are shuffled once.
+    agree with ``order``. Rows of a null group are a group; a row with a null order key stays and
+    has a null position. The merge join finds the rows already partitioned and sorted by cell from the
+    numbering, so the rows are shuffled once.
     """
-    group = list(group)
-    cell = [*group, "__c", "__f"]
-    cells = df.withColumns({"__c": coarse, "__f": fine})
-    for c in cell:
-        cells = cells.where(F.col(c).isNotNull())
-    counts = cells.groupBy(*cell).agg(F.count(F.lit(1)).alias("__n"))
-    in_coarse = Window.partitionBy(*group, "__c").orderBy("__f").rowsBetween(Window.unboundedPreceding, -1)
-    across = Window.partitionBy(*group).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+    # A struct equals another one whose fields are null in the same places.
+    cell = ["__g", "__c", "__f"]
+    # Rows without a place are spread by their content; nothing matches their null __c.
+    spread = F.pmod(F.xxhash64(*df.columns), F.lit(4096))
+    cells = df.withColumns({"__g": F.struct(*group), "__c": coarse, "__f": F.coalesce(fine.cast("bigint"), spread)})
+    counts = cells.where(F.col("__c").isNotNull()).groupBy(*cell).agg(F.count(F.lit(1)).alias("__n"))
+    in_coarse = Window.partitionBy("__g", "__c").orderBy("__f").rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy("__g").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
     coarse_start = (
-        counts.groupBy(*group, "__c")
+        counts.groupBy("__g", "__c")
         .agg(F.sum("__n").alias("__n"))
-        .select(*group, "__c", F.coalesce(F.sum("__n").over(across), F.lit(0)).alias("__cs"))
+        .select("__g", "__c", F.coalesce(F.sum("__n").over(across), F.lit(0)).alias("__cs"))
     )
     starts = (
         counts.select(*cell, F.coalesce(F.sum("__n").over(in_coarse), F.lit(0)).alias("__fs"))
-        .join(coarse_start, [*group, "__c"])
+        .join(coarse_start, ["__g", "__c"])
         .select(*cell, (F.col("__cs") + F.col("__fs")).alias("__start"))
     )
     in_cell = Window.partitionBy(*cell).orderBy(*order)
     return (
         cells.withColumn("__rn", F.row_number().over(in_cell))
-        .join(starts.hint("merge"), cell)
+        .join(starts.hint("merge"), cell, "left")
         .select(*df.columns, (F.col("__start") + F.col("__rn") - 1).alias(name))
     )
 
@@ -109,8 +112,9 @@ def with_position(
 def position_by_int(df: DataFrame, group: Sequence[str], order: str, name: str) -> DataFrame:
     """``with_position`` for an integer order column that is unique inside the group."""
     if is_short(df, order):
-        w = Window.partitionBy(*group).orderBy(order)
-        return df.withColumn(name, F.row_number().over(w).cast("bigint") - 1)
+        # Nulls last, so that they leave the other positions alone.
+        w = Window.partitionBy(*group).orderBy(F.col(order).asc_nulls_last())
+        return df.withColumn(name, F.when(F.col(order).isNotNull(), F.row_number().over(w).cast("bigint") - 1))
     c = F.col(order)
     return with_position(df, group, [order], F.shiftright(c, 20), F.shiftright(c, 10), name)
 
@@ -128,11 +132,12 @@ def over_series(
 
     ``build`` gets the text of the ordered window and returns SQL expressions with aliases; their
     frames may reach ``before`` rows back and ``after`` rows ahead. With ``slots`` the reach is in
-    values of the order column (range frames).
+    values of the order column (range frames). Rows whose order is null stay; they form a series
+    of their own, which no other row sees.
     """
     keys, order, bits = list(layout.keys), layout.order, layout.block_bits
     if is_short(df, order):
-        return df.selectExpr("*", *build(f"PARTITION BY {', '.join(keys)} ORDER BY {order}"))
+        return df.selectExpr("*", *build(f"PARTITION BY {', '.join(keys)}, {order} IS NULL ORDER BY {order}"))
     if slots or layout.dense:
         placed = df.withColumn(_POS, F.col(order))
     else:
@@ -141,11 +146,11 @@ def over_series(
     if before or after:
         first = f"greatest(shiftright({_POS} - {after}, {bits}), least({home}, 0))"
         last = f"shiftright({_POS} + {before}, {bits})"
-        blocks = placed.selectExpr("*", f"explode(sequence({first}, {last})) AS {_BLK}")
+        blocks = placed.selectExpr("*", f"explode(coalesce(sequence({first}, {last}), array({home}))) AS {_BLK}")
     else:
         blocks = placed.selectExpr("*", f"{home} AS {_BLK}")
     window = f"PARTITION BY {', '.join([*keys, _BLK])} ORDER BY {order}"
-    return blocks.selectExpr("*", *build(window)).where(f"{_BLK} = {home}").drop(_POS, _BLK)
+    return blocks.selectExpr("*", *build(window)).where(f"{_BLK} <=> {home}").drop(_POS, _BLK)
 
 
 def shifted(column: str, steps: int, window: str) -> str:
