@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import discard, fresh, join_ids, stage, texts
@@ -20,8 +20,10 @@ from tickloom.llm.graph import components
 ROWS, BANDS = 6, 64
 #: Low bits kept of each minimum.
 BITS = 8
-#: Members of one band that are compared in one piece of work.
-BLOCK = 512
+#: Members of one band, and their shingles, that make one block.
+BLOCK, BLOCK_SHINGLES = 512, 250_000
+#: Members, and shingles of members, whose texts meet in one task.
+TASK_ROWS, TASK_SHINGLES = 4_000, 2_000_000
 #: Distinct words whose hashes a Python worker remembers at once.
 WORDS = 400_000
 
@@ -93,7 +95,8 @@ def near_dedup(
     of each band that member which shares most over all bands, of these the most frequent. Within bands whose members are then still in
     different components, members of different components are compared in blocks, each pair in the
     first band that it shares, so no link depends on the choice of the pivot, and no band is
-    capped.
+    capped. The full sets of a block are at hand there, so likely pairs are decided on the spot and only links
+    come out, at most one for two components in a task.
 
     Result, one row per input row: ``doc_id``, ``n_shingles``, ``component_id`` (smallest doc_id
     reachable), ``kept`` (doc_id = component_id). Texts without words (null, empty, white space) have
@@ -127,15 +130,15 @@ def near_dedup(
     rows, _ = stage(src.mapInArrow(sign, "id long, n long, fp binary, sig binary"), "near-rows")
 
     # One node per distinct set, named by its smallest document.
-    groups = rows.where("fp is not null").groupBy("fp").agg(F.min("id").alias("node"), F.first("sig").alias("sig"))
-    nodes, nodes_path = stage(groups.where("node is not null").groupBy("node").agg(F.first("sig").alias("sig")), "near-nodes")
+    groups = rows.where("fp is not null").groupBy("fp").agg(F.min("id").alias("node"), F.first("sig").alias("sig"), F.first("n").alias("n"))
+    nodes, nodes_path = stage(groups.where("node is not null").groupBy("node").agg(F.first("sig").alias("sig"), F.max("n").alias("n")), "near-nodes")
 
     j = F.sequence(F.lit(0), F.lit(BANDS - 1))
-    bands = nodes.select("node", F.posexplode(F.transform(j, lambda k: F.xxhash64(k, F.col("sig").substr(k * ROWS + 1, F.lit(ROWS))))).alias("j", "band"))
-    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    bands = nodes.select("node", "n", F.posexplode(F.transform(j, lambda k: F.xxhash64(k, F.col("sig").substr(k * ROWS + 1, F.lit(ROWS))))).alias("j", "band"))
+    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members, members_path = stage(bands.join(shared, "band"), "near-members")
     # A band's pivot is its member with the most company over all bands: the text that copies vary.
-    company = members.groupBy("node").agg(F.sum("n").alias("company"))
+    company = members.groupBy("node").agg(F.sum("size").alias("company"))
     known = members.join(company, "node")
     pivots = known.groupBy("band").agg(F.max(F.struct("company", -F.col("node"))).alias("m")).select("band", (-F.col("m.col2")).alias("pivot"))
 
@@ -144,7 +147,7 @@ def near_dedup(
         discard(spark, members_path, met_path)
         return _result(rows, None, id_col)
     bodies, bodies_path = stage(join_ids(src.where("id is not null"), met.withColumnRenamed("node", "id"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "near-texts")
-    signs = nodes.join(met, "node", "left_semi")
+    signs = nodes.join(met, "node", "left_semi").select("node", "sig")
 
     floor = threshold[0] / threshold[1] - slack
 
@@ -180,8 +183,7 @@ def near_dedup(
 
     first, first_path = confirm(near, "near-first")
     part, part_path = stage(components(first), "near-part")
-    rest = _within_bands(members, part, signs, floor).join(near.withColumn("tried", F.lit(True)), ["a", "b"], "left").where("tried is null")
-    second, second_path = confirm(rest, "near-second")
+    second, second_path = stage(_within_bands(members, part, signs, bodies, shingle, threshold, floor), "near-second")
     whole, _ = stage(components(first.unionByName(second)), "near-components")
     named, _ = stage(groups.where("node is not null").select("fp", "node").join(whole, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "near-named")
     discard(spark, nodes_path, members_path, met_path, bodies_path, near_path, first_path, part_path, second_path)
@@ -203,17 +205,21 @@ def _result(rows: DataFrame, named: DataFrame | None, id_col: str) -> DataFrame:
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), label.alias("component_id"), F.col("id").eqNullSafe(label).alias("kept"))
 
 
-def _within_bands(members: DataFrame, part: DataFrame, signs: DataFrame, floor: float) -> DataFrame:
-    """Likely pairs that share a band and lie in different components.
+def _within_bands(members: DataFrame, part: DataFrame, signs: DataFrame, bodies: DataFrame, shingle: int, threshold: tuple[int, int], floor: float) -> DataFrame:
+    """Links between documents that share a band and lie in different components.
 
-    The band's largest component need not meet itself. Its members lie in blocks of BLOCK; the
-    others in blocks of their own, which meet each other and all blocks of the largest component.
+    The band's largest component need not meet itself. Its members lie in blocks of at most about BLOCK
+    members and BLOCK_SHINGLES shingles; the others in blocks of their own, which meet each other and all
+    blocks of the largest component.
     """
-    rows = members.join(part, "node", "left").select("band", "j", "node", F.coalesce("component", "node").alias("c"))
-    sizes = rows.groupBy("band", "c").agg(F.count(F.lit(1)).alias("k"))
-    mixed = sizes.groupBy("band").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("m"), F.count(F.lit(1)).alias("cs")).where("cs > 1")
-    blocks = F.greatest(F.ceil(F.col("top.k") / BLOCK), F.lit(1)).cast("int").alias("p"), F.greatest(F.ceil((F.col("m") - F.col("top.k")) / BLOCK), F.lit(1)).cast("int").alias("q")
-    mixed = mixed.select("band", F.col("top.c").alias("main"), *blocks)
+    rows = members.join(part, "node", "left").select("band", "j", "node", "n", F.coalesce("component", "node").alias("c"))
+    sizes = rows.groupBy("band", "c").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("s"))
+    mixed = sizes.groupBy("band").agg(F.max(F.struct("k", "s", "c")).alias("top"), F.sum("k").alias("k"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("cs")).where("cs > 1")
+
+    def blocks(k: Column, s: Column) -> Column:
+        return F.greatest(F.ceil(k / BLOCK), F.ceil(s / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+    mixed = mixed.select("band", F.col("top.c").alias("main"), blocks(F.col("top.k"), F.col("top.s")).alias("p"), blocks(F.col("k") - F.col("top.k"), F.col("s") - F.col("top.s")).alias("q"))
     spread = F.pmod(F.xxhash64("node"), F.lit(1 << 30)).cast("int")
     rows = rows.join(mixed, "band").withColumn("is_main", F.col("c") == F.col("main")).withColumn("own", F.when(F.col("is_main"), spread % F.col("p")).otherwise(spread % F.col("q")))
     # Pieces of work (x, y): y < q means two blocks of others, else block y - q of the largest component.
@@ -222,30 +228,53 @@ def _within_bands(members: DataFrame, part: DataFrame, signs: DataFrame, floor:
         F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("x"), F.greatest(x, F.col("own")).alias("y"))),
         F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda y: F.struct(F.col("own").alias("x"), (F.col("q") + y).alias("y"))),
     )
-    work = rows.withColumn("w", F.explode(F.when(F.col("is_main"), of_main).otherwise(of_other))).select("node", "c", "is_main", "j", F.xxhash64("band", "w.x", "w.y").alias("piece"))
+    work = rows.withColumn("w", F.explode(F.when(F.col("is_main"), of_main).otherwise(of_other))).select("node", "n", "c", "is_main", "j", F.xxhash64("band", "w.x", "w.y").alias("piece"))
     work, _ = stage(work, "near-work")
-    groups = max(1, work.count() // 20_000)
+    load = work.agg(F.count(F.lit(1)).alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("s")).first()
+    groups = max(1, load.k // TASK_ROWS, load.s // TASK_SHINGLES)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("piece", kind="stable")
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint64).reshape(len(pdf), -1)
         bands = np.frombuffer(sig, np.uint8).reshape(len(pdf), BANDS, ROWS)
-        node, comp, main, piece, band = (pdf[c].to_numpy() for c in ("node", "c", "is_main", "piece", "j"))
+        node, comp, main, piece, band, text = (pdf[c].to_numpy() for c in ("node", "c", "is_main", "piece", "j", "text"))
+        known, sets, joined, out = _WordHash(), {}, {}, []
+
+        def full(x: int) -> frozenset:
+            if node[x] not in sets:
+                sets[node[x]] = frozenset(shingle_hashes(text[x].encode().lower().split(), shingle, known).tolist())
+            return sets[node[x]]
+
+        def root(c: int) -> int:
+            while c in joined:
+                joined[c] = c = joined.get(joined[c], joined[c])
+            return c
+
         cuts = np.flatnonzero(np.diff(piece)) + 1
-        out = []
         for lo, hi in zip([0, *cuts], [*cuts, len(pdf)], strict=True):
+            sets.clear()
+            known.clear()
             for i in range(lo, hi):
                 if main[i]:
                     continue
                 j = np.arange(lo, hi)
                 j = j[(comp[lo:hi] != comp[i]) & (main[lo:hi] | (j > i))]
-                j = j[similarity(sig[j], sig[i]) >= floor]
-                j = j[(bands[j] == bands[i]).all(axis=2).argmax(axis=1) == band[i]]
-                out += [(min(node[i], node[x]), max(node[i], node[x])) for x in j]
-        return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
-
-    keyed = work.join(signs, "node").withColumn("g", F.pmod(F.col("piece"), F.lit(groups)))
-    return keyed.groupBy("g").applyInPandas(compare, "a long, b long")
+                likely = similarity(sig[j], sig[i])
+                j = j[np.argsort(-likely, kind="stable")][: int((likely >= floor).sum())]  # likeliest first
+                for x in j[(bands[j] == bands[i]).all(axis=2).argmax(axis=1) == band[i]]:
+                    a, b = root(comp[i]), root(comp[x])
+                    if a == b:
+                        continue
+                    p, q = full(i), full(x)
+                    both = len(p & q)
+                    if threshold[1] * both >= threshold[0] * (len(p) + len(q) - both):
+                        joined[a] = b
+                        out.append((min(node[i], node[x]), max(node[i], node[x])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    keyed = work.join(signs, "node").join(bodies.withColumnRenamed("id", "node"), "node")
+    dealt = keyed.select("node", "c", "is_main", "j", "piece", "sig", F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.col("piece"), F.lit(groups)).alias("g"))
+    return dealt.groupBy("g").applyInPandas(compare, "a long, b long")
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
