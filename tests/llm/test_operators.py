@@ -13,13 +13,13 @@ from tokenizers import Tokenizer
 from tickloom.llm.bpe import decode, encode_documents
 from tickloom.llm.exact import deduplicated, exact_dedup, grow_directory
 from tickloom.llm.language import fit, identify, predict
-from tickloom.llm.minhash import near_dedup, one_per_group
+from tickloom.llm.minhash import _WordHash, near_dedup, one_per_group
 from tickloom.llm.packing import pack
 from tickloom.llm.pii import pseudonymize
 from tickloom.llm.quality import quality
 from tickloom.llm.queries import ORACLES, QUERIES
 from tickloom.llm.sharding import shard
-from tickloom.llm.suffix import repeated_passages
+from tickloom.llm.suffix import GRAM, _rolling, repeated_passages
 from tickloom.llm.toxicity import Chain, fit_chain, score_toxicity, without_toxic
 
 SMALL = "/root/testdata/sf0.001"
@@ -145,16 +145,43 @@ def test_passages(docs, empty):
     assert repeated_passages(empty).count() == 0
 
 
-def test_passages_against_brute_force(spark):
-    rows = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
-    words = {r.doc_id: (r.text or "").encode().lower().split() for r in rows}
+def passages_by_brute_force(words):
+    """(document, word number) of every word in a run of 50 that another document has too."""
     seen = {}
     for d, w in words.items():
         for i in range(len(w) - 49):
             seen.setdefault(tuple(w[i : i + 50]), set()).add(d)
-    want = {(d, p) for d, w in words.items() for i in range(len(w) - 49) if len(seen[tuple(w[i : i + 50])]) > 1 for p in range(i, i + 50)}
-    got = {(r.doc_id, p) for r in QUERIES["op7_sparse_suffix_passages"](spark, SMALL).collect() for p in range(r.start, r.stop)}
-    assert got == want
+    return {(d, p) for d, w in words.items() for i in range(len(w) - 49) if len(seen[tuple(w[i : i + 50])]) > 1 for p in range(i, i + 50)}
+
+
+def covered(spans):
+    return {(r.doc_id, p) for r in spans.collect() for p in range(r.start, r.stop)}
+
+
+def test_passages_against_brute_force(spark):
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
+    words = {r.doc_id: (r.text or "").encode().lower().split() for r in rows}
+    assert covered(QUERIES["op7_sparse_suffix_passages"](spark, SMALL)) == passages_by_brute_force(words)
+
+
+@pytest.mark.parametrize("own", [40, 70])
+def test_passages_around_a_line_of_all_documents(spark, own):
+    """Every document holds one line; pairs share words before it, after it or on both sides, other documents sort between."""
+    rng = np.random.default_rng(7)
+    text = [f"line{i}" for i in range(100_000)]
+    at = int(_rolling(np.fromiter(map(_WordHash().__getitem__, (w.encode() for w in text)), np.uint64, len(text)), GRAM)[:-20].argmin())
+    line = text[at : at + 20]  # its first place is a minimiser of all windows that hold it
+    some = lambda n: [f"w{x}" for x in rng.integers(0, 1_000_000, n)]
+    words = {}
+    for pair in range(120):
+        behind, ahead = [(32, 0), (0, 32), (15, 16), (29, 0)][pair % 4]  # the last shares 49 words only
+        left, right = some(behind), some(ahead)
+        for d in (pair, 1000 + pair):
+            words[d] = some(own - behind) + left + line + right + some(own - ahead)
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in words.items()], "doc_id long, text string").repartition(5)
+    want = passages_by_brute_force(words)
+    assert {d for d, _ in want} == {d for d in words if d % 1000 % 4 != 3}
+    assert covered(repeated_passages(df)) == want
 
 
 def test_shards(docs, empty, spark):

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import stage, texts
+from tickloom.llm.common import join_ids, stage, texts
 from tickloom.llm.minhash import WORDS, _WordHash
 
 #: Words of a passage, of a minimiser, and minimisers in one window.
@@ -152,6 +152,57 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield edge(kept.slice(max(0, kept.num_rows - NEIGHBOURS)))
 
 
+def _splits(carry: str):
+    """For each suffix every way to make a passage around it, as one key: some words before it, the rest after it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            right, left = _matrix(b.column("after"), AFTER), _matrix(b.column("before"), BEFORE)
+            n_right, n_left = ((m != 0).sum(axis=1) for m in (right, left))  # 0 is only beyond the text
+            hashes = []
+            for words, acc in ((right, b.column("h").to_numpy().view(np.uint64)), (left, np.zeros(b.num_rows, np.uint64))):
+                so_far = [acc]
+                for j in range(words.shape[1]):
+                    acc = ((acc ^ (acc >> np.uint64(29))) * _M) + words[:, j]
+                    so_far.append(acc)
+                hashes.append(so_far)
+            for ahead in range(PASSAGE - PREFIX + 1):
+                behind = PASSAGE - PREFIX - ahead
+                ok = np.flatnonzero((n_right >= ahead) & (n_left >= behind))
+                if not len(ok):
+                    continue
+                key = (hashes[0][ahead][ok] * _M) ^ (hashes[1][behind][ok] + np.uint64(ahead))
+                key = (key ^ (key >> np.uint64(32))) * _M
+                kept = [b.column(c).take(pa.array(ok)) for c in carry.split()]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(ok), behind, np.int32)), *kept], names=["key", "behind", *carry.split()])
+
+    return run
+
+
+def _crowded(suffixes: DataFrame) -> DataFrame:
+    """Passages around suffixes of which more share their first words than neighbours are compared.
+
+    There a copy that agrees mostly in the words before the suffix can sort far away. Each different surrounding
+    becomes one row, then one key per way to split a passage into words before and after; a key of two documents is a
+    passage of both. Surroundings that two documents share in full were found as neighbours and only answer here.
+    """
+    around = F.xxhash64("after", "before")
+    sizes = suffixes.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(around).alias("a"), F.max(around).alias("b"))
+    groups, _ = stage(sizes.where(f"n > {NEIGHBOURS + 1} AND lo < hi AND a != b").select("h"), "suffix-crowded")
+    rows = join_ids(suffixes, groups, "h", "left_semi")
+    single = rows.groupBy("h", "after", "before", "doc").agg(F.collect_set("place").alias("places"))  # of one document
+    apart = single.groupBy("h", "after", "before").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.max_by("places", "doc").alias("places"))
+    apart, _ = stage(apart, "suffix-surroundings")
+    keys = apart.select("h", "after", "before", "lo", "hi").mapInArrow(_splits("lo hi"), "key long, behind int, lo long, hi long")
+    shared, _ = stage(keys.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("key"), "suffix-keys")
+    askers = apart.where("lo = hi").select("h", "after", "before", F.col("lo").alias("doc"), F.explode("places").alias("place"))
+    asked = askers.mapInArrow(_splits("doc place"), "key long, behind int, doc long, place int")
+    found = join_ids(asked, shared, "key", "left_semi")
+    return found.select("doc", (F.col("place") - F.col("behind")).alias("start"), (F.col("place") - F.col("behind") + PASSAGE).alias("stop"))
+
+
 _OUT = "doc long, start int, stop int, part int, h long, after binary, before binary, place int"
 
 
@@ -163,7 +214,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     BEFORE words before it, are sorted over the cluster by range (a frequent passage spreads over
     partitions by its surroundings); each is compared with its neighbours, in both directions from its place; the
     few at partition ends are compared in a further small job. A suffix's prefix is compared by a 64-bit hash, its
-    surroundings by 16-bit hashes of their words. Matches of one document that overlap become one span.
+    surroundings by 16-bit hashes of their words. Where more suffixes share a prefix than neighbours are compared, all
+    ways to place a passage around them are compared as well, by key. Matches of one document that overlap become one span.
 
     Result, one row per span: ``doc_id``, ``start``, ``stop`` (word numbers from 0, end excluded),
     ``n_words``. Null, empty and short texts have no spans; rows without an id are left out; rows
@@ -171,13 +223,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     other columns are not looked at.
     """
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    found = src.mapInArrow(_suffixes, "h long, after binary, before binary, doc long, place int")
+    # Written, so that neither the sampling of the ranges nor the crowded prefixes read the texts again.
+    found, _ = stage(src.mapInArrow(_suffixes, "h long, after binary, before binary, doc long, place int"), "suffixes")
     order = ["h", "after", "before", "doc", "place"]
     ranged = found.repartitionByRange(*order).sortWithinPartitions(*order)
     rows, _ = stage(ranged.mapInArrow(_neighbours, _OUT), "suffix-spans")
     ends = rows.where("part >= 0").select("part", *order).repartition(1).sortWithinPartitions(*order)  # a few rows per partition
     rest = ends.select(*order).mapInArrow(_neighbours, _OUT).where("part < 0")
-    spans = rows.where("part < 0").unionByName(rest).select(F.col("doc").alias(id_col), "start", "stop").distinct()
+    near = rows.where("part < 0").unionByName(rest).select("doc", "start", "stop")
+    spans = near.unionByName(_crowded(found)).select(F.col("doc").alias(id_col), "start", "stop").distinct()
     return _merged(spans, id_col)
 
 
