@@ -154,6 +154,15 @@ def test_chunks_keep_nulls_and_honour_stride(spark):
     assert [r[0] for r in rows(chunks.chunk_windows(df, "x", 3, 2, stride=2).select("position"), "position")] == [2, 4]
 
 
+def test_chunks_of_several_columns_are_the_chunks_of_each(spark):
+    df = spark.createDataFrame([(0, t, 0, None if t == 1 else float(t), -float(t)) for t in range(9)], "date_id smallint, time_id int, symbol_id smallint, x double, y double")
+    both = chunks.chunk_windows(df, ["x", "y"], 3, 2, stride=2)
+    assert both.columns == ["date_id", "time_id", "symbol_id", "position", "past_x", "future_x", "past_y", "future_y"]
+    for c in ("x", "y"):
+        one = chunks.chunk_windows(df, c, 3, 2, stride=2).select("position", "past", "future")
+        assert rows(both.select("position", f"past_{c}", f"future_{c}"), "position") == rows(one, "position")
+
+
 def test_date_slice_counts_positions(spark):
     df = spark.createDataFrame([(d, 0, 0) for d in (3, 7, 8, 20)], SHORT)
     assert [r.date_id for r in select.date_slice(df, 1, 2).orderBy("date_id").collect()] == [7, 8]
@@ -183,6 +192,16 @@ def test_cache_is_written_once_and_rewritten_after_a_failed_write(spark, tmp_pat
     assert io.write_partitioned_cache(df, str(half)).count() == 2
 
 
+def test_cache_leaves_foreign_folders_alone(spark, tmp_path):
+    df = spark.createDataFrame([(0, 1.0)], "date_id smallint, x double")
+    (tmp_path / "notes.txt").write_text("keep")
+    with pytest.raises(FileExistsError):
+        io.write_partitioned_cache(df, str(tmp_path))
+    with pytest.raises(FileExistsError):
+        io.write_partitioned_cache(df, str(tmp_path / "notes.txt"))
+    assert (tmp_path / "notes.txt").read_text() == "keep"
+
+
 def test_union_keeps_duplicates_and_widens(spark):
     a = spark.createDataFrame([(1, 2)], "x smallint, y int")
     b = spark.createDataFrame([(2.5, 1)], "y double, x int")

@@ -12,14 +12,22 @@ from tickloom.operators.series import SeriesLayout, over_series, with_position
 
 
 def chunk_windows(
-    df: DataFrame, column: str, n_in: int, n_out: int, group: Sequence[str] = ("symbol_id",), stride: int = 1
+    df: DataFrame,
+    column: str | Sequence[str],
+    n_in: int,
+    n_out: int,
+    group: Sequence[str] = ("symbol_id",),
+    stride: int = 1,
 ) -> DataFrame:
     """The last ``n_in`` and the next ``n_out`` values of each row's series, full chunks only.
 
-    A series runs over dates and slots; a new chunk starts every ``stride`` rows.
+    A series runs over dates and slots; a new chunk starts every ``stride`` rows. One column comes out as ``past`` and
+    ``future``; a list of columns shares the sort and the gathering, and comes out as ``past_<column>`` and ``future_<column>``.
     """
+    columns = [column] if isinstance(column, str) else list(column)
+    out = {c: "" if isinstance(column, str) else f"_{c}" for c in columns}
     placed = with_position(
-        df.select("date_id", "time_id", *group, column),
+        df.select("date_id", "time_id", *group, *columns),
         group,
         ["date_id", "time_id"],
         F.col("date_id"),
@@ -27,7 +35,7 @@ def chunk_windows(
         "position",
     )
     # A struct keeps null values, which collect_list alone would drop.
-    item = f"named_struct('v', {column})"
+    item = f"struct({', '.join(f'`{c}`' for c in columns)})"
     chunks = over_series(
         placed,
         lambda w: [
@@ -38,7 +46,8 @@ def chunk_windows(
         after=n_out,
         layout=SeriesLayout(keys=tuple(group), order="position", dense=True),
     ).where((F.size("past") == n_in) & (F.size("future") == n_out) & ((F.col("position") - (n_in - 1)) % stride == 0))
-    return chunks.withColumns({"past": F.col("past.v"), "future": F.col("future.v")}).drop(column)
+    cells = [F.col(side)[c].alias(f"{side}{out[c]}") for c in columns for side in ("past", "future")]
+    return chunks.select(*[c for c in chunks.columns if c not in (*columns, "past", "future")], *cells)
 
 
 def instance_normalize(df: DataFrame, column: str = "past", eps: float = 1e-5) -> DataFrame:

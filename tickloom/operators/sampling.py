@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tickloom.operators.select import sample_by_dates, sort_by_index, union_relaxed
 from tickloom.operators.series import BY_DAY, SeriesLayout
@@ -38,12 +39,11 @@ def online_sample(
         return spec.transform(drop_service_columns(df), lags, features, layout, dtype)
 
     parts = [prepare(sample_by_dates(train, n_train, seed))]
-    newest = prepare(latest) if latest is not None else None
-    if newest is not None:
-        parts.append(newest)
+    if latest is not None:
+        # Extended once; each row then comes out twice.
+        twice = F.explode(F.array(F.lit(1), F.lit(2)))
+        parts.append(prepare(latest).select("*", twice.alias("__copy")).drop("__copy"))
     if test is not None:
         parts.append(prepare(sample_by_dates(test, n_test, seed)))
-    if newest is not None:
-        parts.append(newest)
     out = union_relaxed(*parts)
     return sort_by_index(out) if sort_output else out

@@ -30,15 +30,29 @@ def table_is_complete(spark: SparkSession, path: str) -> bool:
     return bool(marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker))
 
 
+def _refuse_foreign(spark: SparkSession, path: str, partition: str) -> None:
+    """Stop before overwriting a folder with anything but partitions of the same column and files of an unfinished write."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return
+    names = [s.getPath().getName() for s in fs.listStatus(where)]
+    foreign = [n for n in names if not n.startswith((f"{partition}=", "_", "."))]
+    if foreign:
+        raise FileExistsError(f"{path} holds {foreign[0]}, which is no part of this table; not overwritten")
+
+
 def write_partitioned_cache(df: DataFrame, path: str, partition: str = "date_id", level: int = 11) -> DataFrame:
     """Write once, partitioned by date and zstd-compressed, and return a scan of the table.
 
     Rebalancing keeps each date in few files and splits a date that holds too many rows for
-    one task. A folder left by a job that died is overwritten; a finished one is kept.
+    one task. A folder left by a job that died is overwritten; a finished one is kept. A folder
+    that holds anything else stops the write.
     """
     spark = df.sparkSession
     schema = df.schema
     if not table_is_complete(spark, path):
+        _refuse_foreign(spark, path, partition)
         (
             df.hint("rebalance", partition)
             .write.mode("overwrite")
