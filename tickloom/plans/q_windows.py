@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import scalars, text
 from tickloom.functions.arrays import array_mean
-from tickloom.operators import chunks, features, lags, select
+from tickloom.operators import chunks, features, lags
 from tickloom.operators.series import BY_DAY_DENSE
 from tickloom.plans.catalog import KEYS, PANEL, PREDICTED, SETTLED, SLOTS, clean, query, r, rn, s, sn
 from tickloom.plans.q_scalars import COUNTDOWN, SERIES, class_sql, lead_sql, shrink_sql
@@ -238,9 +238,7 @@ def _(spark, sf):
     SELECT {KEYS}, {sn('pred_6')}, {s(shrink_sql('pred_6', 'k', (0, .25, .5)))} AS pred_6_censored FROM QS""",
 )
 def _(spark, sf):
-    raw = predictions(settled_panel(spark, sf))
+    # Both predictions come from the same row, so nothing is joined.
     gated = scalars.shrink_by_class("pred_6", text.magnitude_class("responder_6"), text.SHRINK_PREDICT)
-    censored = raw.select(*INDEX, gated.alias("pred_6_censored"))
-    return select.attach_by_key(raw.select(*INDEX, "pred_6"), censored, ["pred_6_censored"]).select(
-        *INDEX, *rn("pred_6", "pred_6_censored")
-    )
+    both = predictions(settled_panel(spark, sf)).withColumn("pred_6_censored", gated)
+    return both.select(*INDEX, *rn("pred_6", "pred_6_censored"))
