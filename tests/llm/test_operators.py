@@ -184,6 +184,19 @@ def test_passages_around_a_line_of_all_documents(spark, own):
     assert covered(repeated_passages(df)) == want
 
 
+def test_passages_with_a_line_many_times_in_one_document(spark):
+    """The other document's rows come batches and partitions after most rows of the first."""
+    line = [f"l{i}" for i in range(12)]
+    words = {1: line * 3000, 2: line * 20, 3: [f"w{i}" for i in range(60)] + line * 6, 4: [f"v{i}" for i in range(200)]}
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in words.items()], "doc_id long, text string")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        assert covered(repeated_passages(df)) == passages_by_brute_force(words)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
 def test_shards(docs, empty, spark):
     out = shard(docs, shards=3).collect()
     assert len(out) == docs.count() and {r.law for r in out} == {"bytes"}

@@ -69,7 +69,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4 << 20)
             yield b.slice(i, step)
 
 
-def join_ids(df: DataFrame, ids: DataFrame, on: str, how: str, most: int = 1_000_000) -> DataFrame:
+def join_ids(df: DataFrame, ids: DataFrame, on: str | list[str], how: str, most: int = 1_000_000) -> DataFrame:
     """Join with a staged table of one row per id; it is broadcast only while it has at most ``most`` rows."""
     return df.join(F.broadcast(ids) if ids.count() <= most else ids, on, how)
 

@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,40 +115,31 @@ def _compare(h: np.ndarray, right: np.ndarray, left: np.ndarray, doc: np.ndarray
     return b[run], a[run]
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of sorted suffixes (part -1), and the first and last few of the partition (part its number)."""
-    part, kept, started = TaskContext.get().partitionId(), None, False
-    names = ["h", "after", "before", "doc", "place"]
+def _spans(doc: pa.Array, place: np.ndarray, before: np.ndarray, after: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([doc, pa.array((place - before).astype(np.int32)), pa.array((place + PREFIX + after).astype(np.int32))], names=["doc", "start", "stop"])
 
-    def spans(t: pa.Table) -> pa.RecordBatch:
-        doc, place = t.column("doc").to_numpy(), t.column("place").to_numpy()
-        before, after = _compare(t.column("h").to_numpy(), _matrix(t.column("after").combine_chunks(), AFTER), _matrix(t.column("before").combine_chunks(), BEFORE), doc)
-        ok = after >= 0
-        n = int(ok.sum())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(doc[ok]), pa.array((place - before)[ok].astype(np.int32)), pa.array((place + PREFIX + after)[ok].astype(np.int32)), pa.array([-1] * n, pa.int32()), pa.array([None] * n, pa.int64()), pa.array([None] * n, pa.binary()), pa.array([None] * n, pa.binary()), pa.array([0] * n, pa.int32())],
-            names=["doc", "start", "stop", "part", "h", "after", "before", "place"],
-        )
-
-    def edge(t: pa.Table) -> pa.RecordBatch:
-        n = t.num_rows
-        t = t.combine_chunks()
-        get = lambda c: pa.concat_arrays(t.column(c).chunks) if t.column(c).num_chunks else pa.array([], t.column(c).type)
-        zero = pa.array([0] * n, pa.int32())
-        return pa.RecordBatch.from_arrays([get("doc"), zero, zero, pa.array([part] * n, pa.int32()), get("h"), get("after"), get("before"), get("place")], names=["doc", "start", "stop", "part", "h", "after", "before", "place"])
 
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of sorted suffixes, of which at most NEIGHBOURS + 1 share a prefix."""
+    kept = None
     for b in batches:
         if not b.num_rows:
             continue
-        t = pa.Table.from_batches([b.select(names)])
-        if not started:
-            yield edge(t.slice(0, NEIGHBOURS))
-            started = True
-        t = pa.concat_tables([kept, t]) if kept is not None else t
-        yield spans(t)
-        kept = t.slice(max(0, t.num_rows - 2 * NEIGHBOURS))
-    if kept is not None:
-        yield edge(kept.slice(max(0, kept.num_rows - NEIGHBOURS)))
+        t = pa.Table.from_batches([b.select(["h", "after", "before", "doc", "place"])])
+        t = (pa.concat_tables([kept, t]) if kept is not None else t).combine_chunks()
+        doc, place = t.column("doc").to_numpy(), t.column("place").to_numpy()
+        before, after = _compare(t.column("h").to_numpy(), _matrix(t.column("after"), AFTER), _matrix(t.column("before"), BEFORE), doc)
+        ok = after >= 0
+        yield _spans(pa.array(doc[ok]), place[ok], before[ok], after[ok])
+        kept = t.slice(max(0, t.num_rows - NEIGHBOURS))  # the suffixes of a prefix that goes on in the next batch
+
+
+def _in_full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of suffixes whose surroundings another document has too: as far as these reach."""
+    for b in batches:
+        if b.num_rows:
+            before, after = ((_matrix(b.column(c), n) != 0).sum(axis=1) for c, n in (("before", BEFORE), ("after", AFTER)))
+            yield _spans(b.column("doc"), b.column("place").to_numpy(), before, after)
 
 
 def _splits(carry: str):
@@ -181,29 +171,29 @@ def _splits(carry: str):
     return run
 
 
-def _crowded(suffixes: DataFrame) -> DataFrame:
+def _crowded(rows: DataFrame) -> DataFrame:
     """Passages around suffixes of which more share their first words than neighbours are compared.
 
-    There a copy that agrees mostly in the words before the suffix can sort far away. Each different surrounding
-    becomes one row, then one key per way to split a passage into words before and after; a key of two documents is a
-    passage of both. Surroundings that two documents share in full were found as neighbours and only answer here.
+    There a copy that agrees mostly in the words before the suffix can sort far away, and one document can hold many
+    equal rows. Each different surrounding becomes one row with its least and greatest document. What two documents
+    share in full is a passage at all its places. The others make one key per way to split a passage into words
+    before and after; a key of two documents is a passage of both.
     """
-    around = F.xxhash64("after", "before")
-    sizes = suffixes.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(around).alias("a"), F.max(around).alias("b"))
-    groups, _ = stage(sizes.where(f"n > {NEIGHBOURS + 1} AND lo < hi AND a != b").select("h"), "suffix-crowded")
-    rows = join_ids(suffixes, groups, "h", "left_semi")
+    around = F.xxhash64("after", "before").alias("around")
     single = rows.groupBy("h", "after", "before", "doc").agg(F.collect_set("place").alias("places"))  # of one document
     apart = single.groupBy("h", "after", "before").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.max_by("places", "doc").alias("places"))
     apart, _ = stage(apart, "suffix-surroundings")
+    both, _ = stage(apart.where("lo < hi").select("h", around), "suffix-whole")
+    whole = join_ids(rows.select("*", around), both, ["h", "around"], "left_semi").mapInArrow(_in_full, _OUT)
     keys = apart.select("h", "after", "before", "lo", "hi").mapInArrow(_splits("lo hi"), "key long, behind int, lo long, hi long")
     shared, _ = stage(keys.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("key"), "suffix-keys")
     askers = apart.where("lo = hi").select("h", "after", "before", F.col("lo").alias("doc"), F.explode("places").alias("place"))
     asked = askers.mapInArrow(_splits("doc place"), "key long, behind int, doc long, place int")
     found = join_ids(asked, shared, "key", "left_semi")
-    return found.select("doc", (F.col("place") - F.col("behind")).alias("start"), (F.col("place") - F.col("behind") + PASSAGE).alias("stop"))
+    return whole.unionByName(found.select("doc", (F.col("place") - F.col("behind")).alias("start"), (F.col("place") - F.col("behind") + PASSAGE).alias("stop")))
 
 
-_OUT = "doc long, start int, stop int, part int, h long, after binary, before binary, place int"
+_OUT = "doc long, start int, stop int"
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,11 +201,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Words are runs without ASCII white space after lower-casing A-Z. Suffixes are kept at minimiser
     places only, so about 2 / (WINDOW + 1) of all; two copies of a passage share one of its first WINDOW places. Suffixes, each with
-    BEFORE words before it, are sorted over the cluster by range (a frequent passage spreads over
-    partitions by its surroundings); each is compared with its neighbours, in both directions from its place; the
-    few at partition ends are compared in a further small job. A suffix's prefix is compared by a 64-bit hash, its
-    surroundings by 16-bit hashes of their words. Where more suffixes share a prefix than neighbours are compared, all
-    ways to place a passage around them are compared as well, by key. Matches of one document that overlap become one span.
+    BEFORE words before it, whose prefix a second document has are sorted; each is compared with its neighbours, in both
+    directions from its place. A suffix's prefix is compared by a 64-bit hash, its
+    surroundings by 16-bit hashes of their words. Where more suffixes share a prefix than neighbours are compared, equal
+    surroundings become one row, and all ways to place a passage around them are compared, by key, so that no task gets
+    all rows of a frequent passage. Matches of one document that overlap become one span.
 
     Result, one row per span: ``doc_id``, ``start``, ``stop`` (word numbers from 0, end excluded),
     ``n_words``. Null, empty and short texts have no spans; rows without an id are left out; rows
@@ -223,15 +213,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     other columns are not looked at.
     """
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    # Written, so that neither the sampling of the ranges nor the crowded prefixes read the texts again.
+    # Written, so that the texts are read once.
     found, _ = stage(src.mapInArrow(_suffixes, "h long, after binary, before binary, doc long, place int"), "suffixes")
-    order = ["h", "after", "before", "doc", "place"]
-    ranged = found.repartitionByRange(*order).sortWithinPartitions(*order)
-    rows, _ = stage(ranged.mapInArrow(_neighbours, _OUT), "suffix-spans")
-    ends = rows.where("part >= 0").select("part", *order).repartition(1).sortWithinPartitions(*order)  # a few rows per partition
-    rest = ends.select(*order).mapInArrow(_neighbours, _OUT).where("part < 0")
-    near = rows.where("part < 0").unionByName(rest).select("doc", "start", "stop")
-    spans = near.unionByName(_crowded(found)).select(F.col("doc").alias(id_col), "start", "stop").distinct()
+    sizes = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+    shared, _ = stage(sizes.where("lo < hi").select("h", (F.col("n") > NEIGHBOURS + 1).alias("crowded")), "suffix-shared")
+    few, many = (join_ids(found, shared.where(c).select("h"), "h", "left_semi") for c in ("not crowded", "crowded"))
+    ranked = few.repartition("h").sortWithinPartitions("h", "after", "before", "doc", "place")
+    near = ranked.mapInArrow(_neighbours, _OUT)
+    spans = near.unionByName(_crowded(many)).select(F.col("doc").alias(id_col), "start", "stop").distinct()
     return _merged(spans, id_col)
 
 
