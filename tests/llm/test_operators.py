@@ -120,6 +120,16 @@ def test_bpe_round_trip(spark, docs, empty):
     assert encode_documents(empty, BPE).count() == 0
 
 
+def test_bpe_words_without_ids(spark):
+    t = Tokenizer.from_file(BPE)
+    texts = ["a \u00a0 b", "\u3000 \u00a0", "\u0085 end", "a\u00a0b \u3000"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = by_id(encode_documents(d, BPE, outputs="texts"))
+    for i, text in enumerate(texts):
+        want = t.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(got[i].ids, "<u4").tolist() == want and got[i].decoded == t.decode(want, skip_special_tokens=False)
+
+
 def test_toxicity(docs, empty, spark):
     rows = [({f"w{i}", "vile"} if i % 3 == 0 else {f"w{i}", "fine"}, (0, int(i % 3 == 0), int(i % 3 == 0))) for i in range(90)]
     chain = fit_chain(rows)

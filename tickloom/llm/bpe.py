@@ -175,7 +175,8 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 own_codes = codes[at : at + k]
                 at += k
                 ids = gather(own_codes, flat, starts, lengths).astype("<u4").tobytes()
-                text = b" ".join([decoded[c] for c in own_codes.tolist()])
+                # A word of Unicode white space only has no ids, and no place in the decoded text.
+                text = b" ".join([decoded[c] for c in own_codes[lengths[own_codes] > 0].tolist()])
                 out.append((doc, len(ids) // 4, hashlib.sha256(ids).hexdigest() if digests else ids, hashlib.sha256(text).hexdigest() if digests else text.decode()))
         columns = list(zip(*out, strict=True)) if out else [()] * 4
         kinds = [pa.int64(), pa.int64(), pa.string() if digests else pa.binary(), pa.string()]
