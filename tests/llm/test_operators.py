@@ -20,7 +20,7 @@ from tickloom.llm.quality import quality
 from tickloom.llm.queries import ORACLES, QUERIES
 from tickloom.llm.sharding import shard
 from tickloom.llm.suffix import GRAM, _rolling, repeated_passages
-from tickloom.llm.toxicity import Chain, fit_chain, score_toxicity, without_toxic
+from tickloom.llm.toxicity import Chain, fit_chain, score_toxicity, toxicity, without_toxic
 
 SMALL = "/root/testdata/sf0.001"
 BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -142,6 +142,18 @@ def test_toxicity(docs, empty, spark):
     assert isinstance(chain, Chain) and chain.scores(np.zeros((1, len(chain.words)))).shape == (1, 3)
 
 
+def test_toxicity_of_few_toxic_labels(spark):
+    """One toxic text in 200, each with one of five words; all toxic labels are learned from, and the share of toxic texts is kept."""
+    rng = np.random.default_rng(3)
+    vile = ["grubnak", "skorvel", "thrimbo", "quazzet", "plunfek"]
+    some = lambda: ["".join(x) for x in rng.choice(list("abcdefghij"), (20, 3))]
+    rows = [(i, " ".join([*some(), *([vile[i // 200 % 5]] if i % 200 == 0 else [])])) for i in range(8000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 200 == 0)) for i in range(8000)], "doc_id long, quality int, toxic int")
+    rejected = {r.doc_id for r in toxicity(d, labels).where("toxic_rejected").collect()}
+    assert rejected == set(range(0, 8000, 200))
+
+
 def test_quality(docs, empty):
     got = by_id(quality(docs))
     assert got[4].n_words == 0 and got[4].base_failed and not got[4].kept

@@ -13,12 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.common import fresh, texts
+from tickloom.llm.common import discard, fresh, stage, texts
 
 #: Categories in chain order; each is 0/1 in the table of labels or derived by ``derive`` below.
 CATEGORIES = ("toxic_junk", "toxic_prose", "toxic")
 #: Most labelled documents that are used for fitting, words that become inputs, and folds.
 SAMPLE, INPUTS, FOLDS = 3_000, 256, 5
+#: An input is so many times as frequent in toxic texts as in others, at least.
+RATIO = 9
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Besides whole words, beginnings of so many letters are inputs, marked by a caret.
 BEGINNINGS = (4, 5, 6, 7)
@@ -55,8 +57,8 @@ def _all_features(words: set[str]) -> set[str]:
     return {f for w in words for f in _features(w)}
 
 
-def _fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, steps: int = 25) -> np.ndarray:
-    """Logistic regression with a ridge on all but the bias, by Newton steps."""
+def _fit_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.01, steps: int = 25) -> np.ndarray:
+    """Logistic regression of weighted rows with a ridge on all but the bias, by Newton steps."""
     w = np.zeros(x.shape[1])
     if y.min() == y.max():  # only one class: a constant
         w[-1] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
@@ -65,8 +67,8 @@ def _fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, steps: int =
     penalty[-1] = 1e-6
     for _ in range(steps):
         p = _sigmoid(x @ w)
-        g = x.T @ (p - y) + penalty * w
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9)
+        g = x.T @ (weight * (p - y)) + penalty * w
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9)
         step = np.linalg.solve(h, g)
         w -= step
         if np.abs(step).max() < 1e-6:
@@ -74,9 +76,12 @@ def _fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, steps: int =
     return w
 
 
-def fit_chain(rows: list[tuple[set[str], tuple[int, ...]]], inputs: int = INPUTS, folds: int = FOLDS) -> Chain:
+def fit_chain(rows: list[tuple[set[str], tuple[int, ...]]], inputs: int = INPUTS, folds: int = FOLDS, share: float | None = None) -> Chain:
     """Fit on ``(words, categories)`` rows; the last category chooses the input words.
 
+    ``share`` is the share of the last category among all documents, if rows of it were drawn more often than others: rows are
+    weighted such that probabilities hold for that share.
+
     Words and beginnings are ranked by the likelihood ratio of being in a text of the category. A later model sees
     an earlier category's probability as it is out of fold, so that it learns how far to trust it.
     """
@@ -90,7 +95,7 @@ def fit_chain(rows: list[tuple[set[str], tuple[int, ...]]], inputs: int = INPUTS
     def gain(w: str) -> float:
         a, b = pos[w], neg[w]
         p, q, m = a / n1, b / n0, (a + b) / (n1 + n0)
-        if a < 5 or a < 9 * b:  # too rare, or usual in clean texts as well
+        if a < 5 or p < RATIO * q:  # too rare, or usual in clean texts as well
             return 0.0
         g = a * np.log(p / m) + (b * np.log(q / m) if b else 0.0)
         g += (n1 - a) * np.log((1 - p) / (1 - m)) if a < n1 else 0.0
@@ -104,6 +109,9 @@ def fit_chain(rows: list[tuple[set[str], tuple[int, ...]]], inputs: int = INPUTS
     for i, (ws, _) in enumerate(rows):
         x[i, [at[w] for w in _all_features(ws) if w in at]] = 1
     fold = np.arange(len(rows)) % folds
+    weight = np.ones(len(rows))
+    if share is not None and 0 < target.sum() < len(rows):
+        weight = np.where(target, share / target.mean(), (1 - share) / (1 - target.mean()))
     weights, earlier = [], np.zeros((len(rows), 0))
     for k in range(y.shape[1]):
         z = np.hstack([x, earlier, np.ones((len(rows), 1))])
@@ -111,20 +119,26 @@ def fit_chain(rows: list[tuple[set[str], tuple[int, ...]]], inputs: int = INPUTS
         for f in range(folds):
             inside = fold != f
             if inside.any() and (~inside).any():
-                held[~inside] = _sigmoid(z[~inside] @ _fit_linear(z[inside], y[inside, k]))
-        weights.append(_fit_linear(z, y[:, k]))
+                held[~inside] = _sigmoid(z[~inside] @ _fit_linear(z[inside], y[inside, k], weight[inside]))
+        weights.append(_fit_linear(z, y[:, k], weight))
         earlier = np.hstack([earlier, held[:, None]])
     return Chain(words, tuple(weights))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tuple[set[str], tuple[int, ...]]]:
-    """At most ``sample`` labelled documents in the order of a hash of their id, one per distinct text.
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[tuple[set[str], tuple[int, ...]]], float]:
+    """At most ``sample`` labelled documents, one per distinct text, and the share of toxic labels among all.
 
-    Categories: toxic text of low quality, toxic text of good quality, toxic. The distinct words are
+    Up to half of them are toxic, the others clean, both in the order of a hash of their id, so that all of few toxic
+    labels are used. Categories: toxic text of low quality, toxic text of good quality, toxic. The distinct words are
     made on the executors.
     """
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"), F.min("quality").cast("int").alias("quality"))
-    chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    marks = marks.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")  # labels without a document teach nothing
+    marks, path = stage(marks, "toxicity-labels")
+    sizes = marks.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("toxic") > 0, 1)).alias("toxic")).first()
+    some = min(sizes.toxic, sample // 2)
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    chosen = marks.where("toxic > 0").orderBy(*order).limit(some).unionByName(marks.where("toxic <= 0").orderBy(*order).limit(sample - some))
     body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +155,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> l
             seen.add(key)
             t = int(r.toxic > 0)
             out.append((set(r.words), (int(t and r.quality == 0), int(t and r.quality != 0), t)))
-    return out
+    discard(docs.sparkSession, path)
+    return out, sizes.toxic / max(1, sizes.n)
 
 
 def score_toxicity(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -183,8 +198,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Without any toxic label nothing is rejected.
     """
-    rows = training_rows(docs, labels)
-    chain = fit_chain(rows) if rows else Chain((), tuple(np.array([0.0] * k + [-20.0]) for k in range(len(CATEGORIES))))
+    rows, share = training_rows(docs, labels)
+    chain = fit_chain(rows, share=share) if rows else Chain((), tuple(np.array([0.0] * k + [-20.0]) for k in range(len(CATEGORIES))))
     return score_toxicity(docs, chain)
 
 
