@@ -2,6 +2,7 @@
 
 import hashlib
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -12,7 +13,7 @@ from tokenizers import Tokenizer
 
 from tickloom.llm.bpe import decode, encode_documents
 from tickloom.llm.exact import deduplicated, exact_dedup, grow_directory
-from tickloom.llm.language import fit, identify, predict
+from tickloom.llm.language import fit, identify, predict, training_rows
 from tickloom.llm.minhash import _WordHash, near_dedup, one_per_group
 from tickloom.llm.packing import pack
 from tickloom.llm.pii import pseudonymize
@@ -109,6 +110,15 @@ def test_language(spark, docs, empty):
     assert out.where("lang = lang_pred").count() >= 0.97 * out.count()
 
 
+def test_language_rows_of_a_rare_language(spark):
+    sizes = {"en": 6000, "fr": 1500, "xx": 60}
+    rows = [(i, f"{lang} text {i}", lang) for lang, n in sizes.items() for i in range(n)]
+    rows += [(i, "one text many times", "xx") for i in range(500)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = Counter(lang for _, lang in training_rows(d, sample=90))
+    assert got == {"en": 30, "fr": 30, "xx": 30}
+
+
 def test_bpe_round_trip(spark, docs, empty):
     t = Tokenizer.from_file(BPE)
     out = encode_documents(docs, BPE, outputs="texts")
