@@ -251,6 +251,22 @@ def test_pseudonyms(docs, empty, spark):
     assert pseudonymize(docs, "k").columns == [*docs.columns, "n_replaced"] and pseudonymize(empty, "k").count() == 0
 
 
+def test_pseudonyms_of_cards_beside_other_digits(spark):
+    """Luhn-valid cards before an expiry date or a security code, or after a short number, go and come back."""
+    cards = ["4111 1111 1111 1111", "4111-1111-1111-1111", "3782 822463 10005", "4795326016703902"]
+    texts = [f"{a}{c}{b}" for c in cards for a, b in [("", " 05/27"), ("", " 123"), ("2 ", ""), ("7 ", " 12"), ("", "")]]
+    texts += [f"4111 1111 1111 1111 {i}" for i in range(100, 160)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    new = pseudonymize(d, "key").drop("n_replaced")
+    got = by_id(new)
+    assert [t for i, t in enumerate(texts) if any(c in got[i].text for c in cards)] == []
+    assert all(len(got[i].text) == len(t) for i, t in enumerate(texts))
+    back = by_id(pseudonymize(new, "key", inverse=True))
+    assert [back[i].text for i in range(len(texts))] == texts
+    other = spark.createDataFrame([(1, "4111 1111 1111 1112 05/27 and 12 34 56 78 90 12 34 56 78")], "doc_id long, text string")
+    assert pseudonymize(other, "key").first().text == other.first().text
+
+
 @pytest.mark.parametrize("size", [64, 4096])
 def test_packing(docs, empty, size):
     t = Tokenizer.from_file(BPE)

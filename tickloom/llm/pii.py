@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import fresh
 
-#: Rounds of the Feistel networks.
-ROUNDS = 10
+#: Rounds of the Feistel networks, and most steps of a card beside other digits; one in ten needs another step.
+ROUNDS, CARD_STEPS = 10, 16
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: What is looked for, in this order at each place. Validation follows in ``pseudonym``.
@@ -21,6 +21,8 @@ PATTERNS = {
     "ssn": r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])",
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?!\w)",
 }
+#: Usual groups of a card number within a longer run of digits, and what stands before and after; a run of 19 digits has room for one.
+_CARD_INSIDE = r"^(.*?)(?<!\d)(" + "|".join([r"\d{13,18}", *(s.join(rf"\d{{{n}}}" for n in g) for g in ((4, 4, 4, 4), (4, 6, 5), (4, 6, 4)) for s in " -")]) + r")(?!\d)(.*)$"
 _NUMBERS = "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k not in ("email", "secret"))
 #: All of them. One look at the next character spares most places the longer alternatives.
 PATTERN = rf"(?:{PATTERNS['email']})|(?=[A0-9a-f])(?:{PATTERNS['secret']})|(?=[0-9(+])(?:{_NUMBERS})"
@@ -113,9 +115,18 @@ def pseudonym(m: Column, key: str, inverse: bool = False) -> Column:
     num = lambda c, a, k: F.substr(c, F.lit(a), F.lit(k)).cast("long")
 
     # Cards: first digit stays, the middle is permuted, the check digit is made anew.
-    body = F.concat(F.substr(digits, F.lit(1), F.lit(1)), _string(F.substr(digits, F.lit(2), n - 2), key, "card", inverse))
-    check = F.pmod(-_luhn_sum(body, F.lit(0)), F.lit(10))
-    card = F.when(_luhn_sum(digits, F.lit(1)) % 10 == 0, _refill(m, F.concat(body, check.cast("string")))).otherwise(m)
+    def shown(c: Column) -> Column:
+        d = F.regexp_replace(c, "[^0-9]", "")
+        body = F.concat(F.substr(d, F.lit(1), F.lit(1)), _string(F.substr(d, F.lit(2), F.length(d) - 2), key, "card", inverse))
+        return _refill(c, F.concat(body, F.pmod(-_luhn_sum(body, F.lit(0)), F.lit(10)).cast("string")))
+
+    valid = lambda c: _luhn_sum(F.regexp_replace(c, "[^0-9]", ""), F.lit(1)) % 10 == 0
+    # A card beside an expiry date, a security code or another short number. Should the whole run become a valid card, the card
+    # is permuted again: so the inverse finds the same card in it, and comes back by as many steps.
+    head, inside, tail = (F.regexp_extract(m, _CARD_INSIDE, i) for i in (1, 2, 3))
+    again = lambda c, _: F.when(valid(F.concat(head, c, tail)), shown(c)).otherwise(c)
+    beside = F.concat(head, F.aggregate(F.sequence(F.lit(1), F.lit(CARD_STEPS)), shown(inside), again), tail)
+    card = F.when(valid(m), shown(m)).when((inside != "") & valid(inside), beside).otherwise(m)
 
     # Phones: area and exchange start with 2 to 9; a country code stays.
     local = _string(F.right(digits, F.lit(10)), key, "phone", inverse, first=lambda j: (j == 0) | (j == 3))
@@ -169,7 +180,8 @@ SHAPES = {
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", inverse: bool = False) -> DataFrame:
     """Replace personal data in place by keyed pseudonyms of the same format; all columns stay.
 
-    Email users, card numbers that pass the Luhn rule, phone and social security numbers, IPv4 addresses
+    Email users, card numbers that pass the Luhn rule (if a run of up to 19 digits does not as a whole, also 13 to 18 digits in one
+    piece or in groups of 4-4-4-4, 4-6-5 or 4-6-4 within it; not yet found are cards in longer runs of which the first 19 digits hold no whole card), phone and social security numbers, IPv4 addresses
     and calendar dates of 1800-2199, keys and passwords. Each is permuted by a Feistel network within its
     valid values, so one value has one pseudonym in all documents. Other numbers stay as they are.
     Adds ``n_replaced`` (with underscores if that name is taken). Null text stays null with 0
