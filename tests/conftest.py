@@ -7,12 +7,12 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 sys.path.insert(0, os.path.join(ROOT, "tools"))
+sys.path.insert(0, os.path.join(ROOT, "tests"))
 
 from check_twins import TABLES  # noqa: E402
+from helpers import SMALL  # noqa: E402
 from tickloom.session import build_session  # noqa: E402
 
-SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -32,8 +32,3 @@ def small_panel(spark):
     from tickloom.sources.fixtures import panel
 
     return panel(spark, SMALL).persist()
-
-
-def rows(df, *order):
-    """Rows as plain tuples, sorted by the given columns."""
-    return [tuple(r) for r in df.orderBy(*order).collect()]

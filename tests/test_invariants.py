@@ -1,7 +1,7 @@
 """Identities between operators, on the derived panel."""
 
 import pytest
-from conftest import SMALL
+from helpers import SMALL
 from pyspark.sql import functions as F
 
 from tickloom.operators import features, lags, metrics, models, rolling

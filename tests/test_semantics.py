@@ -4,7 +4,7 @@ import math
 
 import pandas as pd
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from tickloom import schema

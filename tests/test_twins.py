@@ -2,7 +2,7 @@
 
 import pytest
 from check_twins import differences
-from conftest import SMALL
+from helpers import SMALL
 
 from tickloom.plans import load_all
 
