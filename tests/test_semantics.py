@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tickloom import schema
 from tickloom.functions import arrays, scalars
 from tickloom.operators import chunks, features, lags, metrics, models, nulls, profiles, rolling, select
-from tickloom.operators.nulls import FILL_STRATEGY, FillStrategy
+from tickloom.operators.nulls import FEATURE_FILLS, Fill
 from tickloom.plans.registry import FEATURE_SETS, build, model_matrix
 from tickloom.sources import panel as io
 
@@ -111,9 +111,8 @@ def test_fill_policies(spark):
     df = spark.createDataFrame(
         [(0, 1.0), (0, 3.0), (0, None), (0, 11.0), (1, NAN), (1, 10.0)], "g int, v double"
     ).select("g", *[F.col("v").alias(c) for c in "zmdab"])
-    policy = dict(zip("zmdab", FillStrategy))
-    policy = {"z": FillStrategy.ZERO, "m": FillStrategy.MEAN, "d": FillStrategy.MEDIAN,
-              "a": FillStrategy.GROUP_MEAN, "b": FillStrategy.GROUP_MEDIAN}
+    policy = {"z": Fill(), "m": Fill("mean"), "d": Fill("median"),
+              "a": Fill("mean", grouped=True), "b": Fill("median", grouped=True)}
     out = nulls.fill_by_strategy(df, policy, ["g"]).toPandas()
     zero_group = out[(out.g == 0) & (out.z == 0.0)].iloc[0]
     one_group = out[(out.g == 1) & (out.z == 0.0)].iloc[0]
@@ -123,7 +122,7 @@ def test_fill_policies(spark):
 
 
 def test_fill_map_is_total():
-    assert list(FILL_STRATEGY) == schema.FEATURES[:40]
+    assert sorted(FEATURE_FILLS) == schema.FEATURES[:40]
 
 
 def test_group_of_one_and_constant_series(spark):

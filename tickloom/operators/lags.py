@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from tickloom.operators.select import in_dates
 from tickloom.operators.series import SeriesLayout, attach_group_stats, is_short, join_sized, shift_columns
 from tickloom.schema import INDEX, LAG_STEPS, RESPONDERS, SMA_RESPONDERS, lag_name
-from tickloom.sources.panel import write_partitioned_cache
+from tickloom.sources.panel import write_bucketed_cache, write_partitioned_cache
 
+# Files of the clustered lag table.
+LAG_BUCKETS = 64
 BY_COUNTDOWN = SeriesLayout(keys=("symbol_id", "lag_time_id"), order="date_id")
 
 
@@ -49,6 +51,11 @@ def cached_lag_responders(df: DataFrame, path: str) -> DataFrame:
     return write_partitioned_cache(lag_responder_table(df), path)
 
 
+def clustered_lag_responders(df: DataFrame, path: str, buckets: int = LAG_BUCKETS) -> DataFrame:
+    """The lag table, written on first use and hashed by (date, symbol), the keys that its tails are taken and attached by."""
+    return write_bucketed_cache(lag_responder_table(df), path, ["date_id", "symbol_id"], ["date_id", "symbol_id", "time_id"], buckets)
+
+
 def lag_tail_pivot(lags: DataFrame) -> DataFrame:
     """One row per (date, symbol) with the 90 tail values of the previous date.
 
@@ -69,7 +76,11 @@ def lag_tail_pivot(lags: DataFrame) -> DataFrame:
 
 
 def attach_prev_day_lags(df: DataFrame, lags: DataFrame) -> DataFrame:
-    """Add the 90 tail values of the previous date to every row: one pivot and one join."""
+    """Add the 90 tail values of the previous date to every row: one pivot and one join.
+
+    From ``clustered_lag_responders`` neither the pivot nor the join moves a lag row; only ``df`` is shuffled, and not even
+    that if it is a table of the same clustering. No job runs before the result is asked for.
+    """
     tails = lag_tail_pivot(in_dates(lags, df.select("date_id")))
     return join_sized(df, tails, ["date_id", "symbol_id"])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +17,6 @@ Pair = tuple[str, str]
 # Multipliers of the prediction tried by the scale sweep, and reported quantiles.
 TEST_SCALES = (0.001, 0.003, 0.005, 0.01, 0.03, 0.05, 0.1, 0.2, 0.3, 0.5, 0.8, 1.0, 1.25, 1.5)
 GATE_QUANTILES = (0.10, 0.25, 0.40)
-PAIRS_PER_SUM = 3
 
 
 def _squared_errors(pairs: Sequence[Pair]) -> str:
@@ -94,14 +93,10 @@ def batch_weighted_loss(
     )
 
 
-def _xen_sums(pairs: Sequence[Pair]) -> tuple[list[str], list[str]]:
-    parts = [text.cross_entropy_parts(a, k) for a, k in pairs]
-    return [f"sum({n})" for n, _ in parts], [f"sum({d})" for _, d in parts]
-
-
 def weighted_cross_entropy(df: DataFrame, pairs: Sequence[Pair]) -> DataFrame:
     """Class-weighted, label-smoothed cross entropy over (logits, class) pairs."""
-    num, den = _xen_sums(pairs)
+    parts = [text.cross_entropy_parts(a, k) for a, k in pairs]
+    num, den = ([f"sum({p[i]})" for p in parts] for i in (0, 1))
     return df.agg(F.expr(f"try_divide({text.total(num)}, {text.total(den)}) AS loss"))
 
 
@@ -139,39 +134,73 @@ class LossTerm:
     factor: float = 1.0
 
 
-def _part_sums(kind: str, pairs: Sequence[Pair], weight: str) -> tuple[list[str], list[str]]:
-    """Sums whose totals are a part's numerator and denominator.
+# A version's terms and the weights of their total.
+LossSet = tuple[Sequence[LossTerm], Mapping[str, float]]
 
-    A part with many targets is spread over several sums: one huge expression would exceed what
-    the JVM compiles.
-    """
-    pieces = [pairs[i : i + PAIRS_PER_SUM] for i in range(0, len(pairs), PAIRS_PER_SUM)]
+
+def _row_parts(kind: str, pairs: Sequence[Pair], weight: str) -> tuple[str, str]:
+    """What one row adds to a part's numerator and denominator."""
     if kind == "r2":
-        sums = [r2_sums(p, weight) for p in pieces]
-        return [n for n, _ in sums], [d for _, d in sums]
+        return f"{weight} * {_squared_errors(pairs)}", f"{weight} * {text.total([f'{y} * {y}' for _, y in pairs])}"
     if kind == "mse":
-        return [f"sum({_squared_errors(p)})" for p in pieces], [f"count(1) * {len(pairs)}"]
+        return _squared_errors(pairs), f"{len(pairs)}.0D"
     if kind == "xen":
-        return _xen_sums(pairs)
+        parts = [text.cross_entropy_parts(a, k) for a, k in pairs]
+        return text.total([n for n, _ in parts]), text.total([d for _, d in parts])
     raise ValueError(f"unknown loss kind {kind}")
 
 
+def _reduced(df: DataFrame, sets: Mapping, weight: str, by: Sequence[str]) -> tuple[DataFrame, str]:
+    """Sums of all terms per group in one pass, and the SQL array of ``(version, name, loss)`` made from them.
+
+    Below the aggregate each row is reduced to one number for every different numerator and denominator, so the aggregate sees
+    few narrow columns whatever the number of heads, steps and versions, and stays within generated code. The row id keeps
+    the optimizer from folding the numbers back into the aggregate.
+    """
+    numbers: dict[str, str] = {}
+
+    def total_of(part: str) -> str:
+        return f"sum_{numbers.setdefault(part, f'n{len(numbers)}')}"
+
+    cells = []
+    for version, (terms, weights) in sets.items():
+        values = {}
+        for term in terms:
+            ratios = []
+            for kind, pairs in term.parts:
+                num, den = _row_parts(kind, pairs, weight)
+                ratios.append(f"try_divide({total_of(num)}, {total_of(den)})")
+            values[term.name] = f"({text.total(ratios)} * {text.number(term.factor)})"
+        if weights:
+            values["total"] = text.total([f"{values[n]} * {text.number(f)}" for n, f in weights.items()])
+        cells += [f"named_struct('version', {version}, 'name', '{n}', 'loss', {v})" for n, v in values.items()]
+    rows = df.selectExpr(*[text.name(c) for c in by], *[f"{e} AS {n}" for e, n in numbers.items()], "monotonically_increasing_id() AS __row")
+    sums = rows.groupBy(*by).agg(*[F.sum(n).alias(f"sum_{n}") for n in numbers.values()], F.count("__row").alias("n"))
+    return sums, f"array({', '.join(cells)})"
+
+
+def version_losses(df: DataFrame, sets: Mapping[int, LossSet], weight: str = "weight") -> DataFrame:
+    """All named losses and the weighted total (where weights are given) of every version: ``version, name, loss``, from one pass over ``df``."""
+    sums, cells = _reduced(df, sets, weight, ())
+    return sums.selectExpr(f"inline({cells})")
+
+
+def version_batch_losses(df: DataFrame, sets: Mapping[int, LossSet], weight: str = "weight", batch: Sequence[str] = ("date_id",)) -> DataFrame:
+    """Every named loss as the mean over batches weighted by their sizes: ``version, name, loss, n, batches``.
+
+    This is what accumulating per-batch losses gives; it differs from the pooled loss. A batch without a loss (its targets weigh
+    nothing) counts neither above nor below the line. One pass and one shuffle of sums per batch.
+    """
+    sums, cells = _reduced(df, sets, weight, batch)
+    per_batch = sums.selectExpr("n", f"inline({cells})")
+    sized = F.sum(F.when(F.col("loss").isNotNull(), F.col("n")))
+    return per_batch.groupBy("version", "name").agg(
+        F.try_divide(F.sum(F.col("loss") * F.col("n")), sized).alias("loss"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("batches")
+    )
+
+
 def composite_loss(
-    df: DataFrame, terms: Sequence[LossTerm], total: dict[str, float], weight: str = "weight"
+    df: DataFrame, terms: Sequence[LossTerm], total: Mapping[str, float], weight: str = "weight"
 ) -> DataFrame:
     """All named losses and their weighted total from one aggregation; one row per loss."""
-    aggregates: dict[str, str] = {}
-
-    def named(sums: list[str]) -> str:
-        return text.total([aggregates.setdefault(e, f"__s{len(aggregates)}") for e in sums])
-
-    values = {}
-    for term in terms:
-        ratios = []
-        for kind, pairs in term.parts:
-            num, den = _part_sums(kind, pairs, weight)
-            ratios.append(f"try_divide({named(num)}, {named(den)})")
-        values[term.name] = f"({text.total(ratios)} * {text.number(term.factor)})"
-    cells = [(f"'{n}'", v) for n, v in values.items()]
-    cells.append(("'total'", text.total([f"{values[n]} * {text.number(f)}" for n, f in total.items()])))
-    return _rows(df.agg(*[F.expr(f"{e} AS {n}") for e, n in aggregates.items()]), "name", cells)
+    return version_losses(df, {0: (terms, total)}, weight).drop("version")

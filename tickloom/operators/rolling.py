@@ -40,7 +40,7 @@ def expanding_window(
     ``rolling_mean_rows`` gives the same without copies.
     """
     if not aggs and not named_aggs:
-        raise ValueError("give at least one aggregation in `aggs` or `named_aggs`")
+        raise ValueError("no aggregate is given")
     dtype = df.schema[index_column].dataType
     exprs = list(aggs or []) + [c.alias(n) for n, c in (named_aggs or {}).items()]
     slot = F.col(index_column).cast("int")

@@ -20,8 +20,7 @@ from pyspark.sql import types as T
 from tickloom.functions import text
 
 _POS, _BLK = "__pos", "__blk"
-BROADCAST_LIMIT = 64 * 1024 * 1024
-_FIXED_BYTES = {T.ShortType: 2, T.IntegerType: 4, T.LongType: 8, T.FloatType: 4, T.DoubleType: 8}
+BROADCAST_LIMIT = 32 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -43,16 +42,21 @@ def is_short(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, (T.ByteType, T.ShortType))
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's estimate of a table's size, from file sizes and row widths; no job runs. It leaves grouping and filters out
+    of account, so that it is too large rather than too small."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def join_sized(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Join a table that is usually far smaller than ``df``.
+    """Join a table that is usually far smaller than ``df``. A null key matches a null key.
 
-    Its rows are counted first, which reads key columns only. A table within the limit is
-    broadcast, so the wide side is not shuffled; a larger one is joined by shuffle, where the
-    adaptive planner splits hot keys. A null key matches a null key.
+    Nothing is counted while the query is built. A table whose estimate is within the limit is broadcast, so the wide
+    side is not shuffled. Any other is a shuffle join, in which adaptive execution broadcasts a side that turned out
+    small once its shuffle is written, and splits hot keys otherwise.
     """
     keys, hidden = list(keys), {k: f"__k_{k}" for k in keys}
-    width = sum(_FIXED_BYTES.get(type(f.dataType), 64) + 8 for f in small.schema.fields)
-    if small.select(*keys).count() * width <= BROADCAST_LIMIT:
+    if estimated_bytes(small) <= BROADCAST_LIMIT:
         small = F.broadcast(small)
     same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(F.col(n)) for k, n in hidden.items()])
     return df.join(small.withColumnsRenamed(hidden), same, how).drop(*hidden.values())

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
-from tickloom.operators import features, metrics
-from tickloom.operators.series import BY_DAY_DENSE
+from tickloom.operators import metrics
+from tickloom.operators.series import BY_DAY_DENSE, shift_columns
 from tickloom.functions.scalars import zero_fill
 from tickloom.plans import losses
 from tickloom.plans.catalog import LOGITS, PREDICTED, SETTLED, query, r, rn, s, sn
@@ -226,17 +224,24 @@ def _filled_outputs(version: int) -> str:
 TRAIN_VERSIONS = (3, 9, 11, 12, 13)
 
 
-def _outputs(spark, sf, version):
-    """Zero-filled panel with the leads the version trains on, next to its model outputs."""
-    df = settled_panel(spark, sf)
-    if version == 12:
-        df = features.responder_wide_targets(df, BY_DAY_DENSE)
-    elif version in (11, 13):
-        df = features.responder_leads(df, BY_DAY_DENSE)
-    df = zero_fill(df)
-    if version == 3:
-        df = df.selectExpr("*", *[f"0.9D * {c} AS pred_{c}" for c in PANEL_FEATURES])
-    return model_outputs(df, losses.SCALE.get(version, 1.0))
+# Outputs stand side by side, one set for each unit.
+_SUFFIX = {v: f"_x{int(losses.SCALE.get(v, 1.0))}" for v in (3, 9, 10, 11, 12, 13)}
+_COLUMNS = {v: (lambda name, end=end: f"{name}{end}") for v, end in _SUFFIX.items()}
+
+
+def _side_by_side(df, versions):
+    """The outputs of several versions next to the panel."""
+    for v in sorted({_SUFFIX[v]: v for v in versions}.values()):
+        df = model_outputs(df, losses.SCALE.get(v, 1.0), _SUFFIX[v])
+    return df
+
+
+def _trained(spark, sf):
+    """Zero-filled settled panel with every lead that any version trains on, from one series pass, next to all outputs."""
+    shifts = {n: (n, c, -i) for n, (c, i) in {**_LEADS, **_SIGNED}.items()}
+    df = zero_fill(shift_columns(settled_panel(spark, sf), list(shifts.values()), BY_DAY_DENSE))
+    df = df.selectExpr("*", *[f"0.9D * {c} AS pred_{c}{_SUFFIX[3]}" for c in PANEL_FEATURES])
+    return _side_by_side(df, TRAIN_VERSIONS)
 
 
 @query(
@@ -244,11 +249,25 @@ def _outputs(spark, sf, version):
     " UNION ALL ".join(loss_rows_sql(_filled_outputs(v), train_sql(v), v) for v in TRAIN_VERSIONS),
 )
 def _(spark, sf):
-    parts = [
-        losses.composite_train_loss(_outputs(spark, sf, v), v, PANEL_FEATURES).select(F.lit(v).alias("version"), "name", *rn("loss"))
-        for v in TRAIN_VERSIONS
-    ]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    columns = {v: _COLUMNS[v] for v in TRAIN_VERSIONS}
+    return losses.train_losses(_trained(spark, sf), columns, PANEL_FEATURES).select("version", "name", *rn("loss"))
+
+
+def _by_batch_sql(version: int) -> str:
+    """Named losses per date, then their means weighted by rows."""
+    named = train_sql(version)
+    cols = ", ".join(f"{v} AS {n}" for n, v in named.items() if n != "total")
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS name, {n if n != 'total' else named['total']} AS loss, rows FROM V" for n in named)
+    return (
+        f"SELECT CAST({version} AS INT) AS version, name, {s('sum(loss * rows) / sum(CASE WHEN loss IS NOT NULL THEN rows END)')} AS loss, CAST(sum(rows) AS BIGINT) AS n, count(*) AS batches "
+        f"FROM ({_filled_outputs(version)}, V AS (SELECT date_id, count(*) AS rows, {cols} FROM M GROUP BY date_id) {rows}) GROUP BY name"
+    )
+
+
+@query("named_batch_losses", " UNION ALL ".join(_by_batch_sql(v) for v in TRAIN_VERSIONS))
+def _(spark, sf):
+    columns = {v: _COLUMNS[v] for v in TRAIN_VERSIONS}
+    return losses.train_losses_by_batch(_trained(spark, sf), columns, PANEL_FEATURES).select("version", "name", *rn("loss"), "n", "batches")
 
 
 def gated_sql(version: int) -> dict[str, str]:
@@ -264,27 +283,28 @@ def gated_sql(version: int) -> dict[str, str]:
     return out | {"total": "(" + " + ".join(out) + f") / {len(out)}"}
 
 
-def pooled_gate_sql() -> dict[str, str]:
+def pooled_gate_sql(version: int) -> dict[str, str]:
     gate = lambda p, k: f"({shrink_sql(p, _gate_class(k), (0, 0.25, 0.5))})"
-    sc = losses.SCALE[11]
-    direct = [(gate(f"regress_{k} * {sc}", k), f"responder_{k}") for k in range(3, 9)]
+    sc = losses.SCALE[version]
+    direct = [(gate(f"regress_{k} * {sc}", k), f"responder_{k}") for k in (range(3, 9) if version == 11 else range(9))]
+    if version != 11:
+        return {"loss_rsq": _sum_r2(direct), "total": "loss_rsq"}
     slow = [(gate(f"{_mean([f'sma_{k}_{i}' for i in range(5)])} * {sc}", k), f"responder_{k}") for k in (3, 6)]
     return {"loss_rsq": _sum_r2(direct), "loss_sma_rsq": _sum_r2(slow), "total": "loss_rsq + loss_sma_rsq"}
 
 
+TEST_VERSIONS = (9, 10, 11, 12, 13)
+
+
 @query(
     "gated_r2_report",
     " UNION ALL ".join(
-        loss_rows_sql(outputs_sql(losses.SCALE[v]), pooled_gate_sql() if v == 11 else gated_sql(v), v) for v in (11, 12, 13)
+        loss_rows_sql(outputs_sql(losses.SCALE[v]), pooled_gate_sql(v) if v <= 11 else gated_sql(v), v) for v in TEST_VERSIONS
     ),
 )
 def _(spark, sf):
-    parts = []
-    for v in (11, 12, 13):
-        df = model_outputs(zero_fill(settled_panel(spark, sf)), losses.SCALE[v])
-        report = losses.gated_pooled_report(df) if v == 11 else losses.gated_r2_report(df, v)
-        parts.append(report.select(F.lit(v).alias("version"), "name", *rn("loss")))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    df = _side_by_side(zero_fill(settled_panel(spark, sf)), TEST_VERSIONS)
+    return losses.gated_r2_report(df, {v: _COLUMNS[v] for v in TEST_VERSIONS}).select("version", "name", *rn("loss"))
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import arrays, scalars, text
 from tickloom.operators import features, lags, metrics, nulls
-from tickloom.operators.nulls import FillStrategy
+from tickloom.operators.nulls import Fill
 from tickloom.operators.series import BY_DAY_DENSE
 from tickloom.plans.catalog import KEYS, LOGITS, PANEL, PREDICTED, SETTLED, SLOTS, clean, query, r, rn, s, sn, zero
 from tickloom.plans.registry import FEATURE_SETS, model_matrix
@@ -47,11 +47,11 @@ def _(spark, sf):
 
 
 _POLICY = {
-    "by_zero": FillStrategy.ZERO,
-    "by_mean": FillStrategy.MEAN,
-    "by_median": FillStrategy.MEDIAN,
-    "by_group_mean": FillStrategy.GROUP_MEAN,
-    "by_group_median": FillStrategy.GROUP_MEDIAN,
+    "by_zero": Fill(),
+    "by_mean": Fill("mean"),
+    "by_median": Fill("median"),
+    "by_group_mean": Fill("mean", grouped=True),
+    "by_group_median": Fill("median", grouped=True),
 }
 
 

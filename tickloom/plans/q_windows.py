@@ -106,10 +106,19 @@ def _(spark, sf):
     return table.select(*INDEX, "lag_time_id", *rn(*SHIFTED))
 
 
+_lag_tables: dict[tuple[str, str], str] = {}
+
+
+def written_lags(spark, sf):
+    """The clustered lag table of a panel, written on the first use in an application and scanned afterwards."""
+    key = (spark.sparkContext.applicationId, sf)
+    path = _lag_tables.setdefault(key, shared_dir(spark, "lag-table"))
+    return lags.clustered_lag_responders(panel(spark, sf), path, buckets=16)
+
+
 @query("lag_tail_pivot", LAG_TABLE + TAILS + f" SELECT date_id, symbol_id, {sn(*_TAIL_NAMES)} FROM TP")
 def _(spark, sf):
-    table = lags.lag_responder_table(panel(spark, sf))
-    return lags.lag_tail_pivot(table).select("date_id", "symbol_id", *rn(*_TAIL_NAMES))
+    return lags.lag_tail_pivot(written_lags(spark, sf)).select("date_id", "symbol_id", *rn(*_TAIL_NAMES))
 
 
 @query(
@@ -119,9 +128,8 @@ def _(spark, sf):
     + f" SELECT P.date_id, time_id, P.symbol_id, {sn(*_TAIL_NAMES)} FROM P LEFT JOIN TP ON P.date_id = TP.date_id AND P.symbol_id = TP.symbol_id",
 )
 def _(spark, sf):
-    df = panel(spark, sf)
     rows = panel(spark, sf, responders=False).select(*INDEX)
-    return lags.attach_prev_day_lags(rows, lags.lag_responder_table(df)).select(*INDEX, *rn(*_TAIL_NAMES))
+    return lags.attach_prev_day_lags(rows, written_lags(spark, sf)).select(*INDEX, *rn(*_TAIL_NAMES))
 
 
 @query(

@@ -130,24 +130,24 @@ def predictions(df: DataFrame) -> DataFrame:
     return df.selectExpr("*", *[f"0.6D * {c} + 0.1D * feature_03 AS pred_{i}" for i, c in enumerate(RESPONDERS)])
 
 
-def model_outputs(df: DataFrame, scale: float) -> DataFrame:
-    """Columns a multi-head network would return for each row, in units of ``1/scale``.
+def model_outputs(df: DataFrame, scale: float, suffix: str = "") -> DataFrame:
+    """Columns a multi-head network would return for each row, in units of ``1/scale``, with ``suffix`` in their names.
 
     ``regress_k`` (k 0..8), ``logits_k`` (4 classes), ``sma_3``/``sma_6`` (5 steps),
     ``wide4_k`` (29 steps), ``wide20_k`` (21 steps).
     """
     n = text.number
-    cols = [f"(0.6D * {c} + 0.1D * feature_03) / {n(scale)} AS regress_{i}" for i, c in enumerate(RESPONDERS)]
+    cols = [f"(0.6D * {c} + 0.1D * feature_03) / {n(scale)} AS regress_{i}{suffix}" for i, c in enumerate(RESPONDERS)]
     for k in range(9):
         near = [f"2.0D - 8.0D * abs(abs(responder_{k} * 0.9D + 0.02D) - {n(c)})" for c in CLASS_CENTRES]
-        cols.append(f"array({', '.join(near)}) AS logits_{k}")
+        cols.append(f"array({', '.join(near)}) AS logits_{k}{suffix}")
     for head, fast in ((3, "responder_5"), (6, "responder_8")):
         steps = [f"(0.5D * {fast} + 0.1D * feature_03 + {n(0.01 * i)}) / {n(scale)}" for i in range(5)]
-        cols.append(f"array({', '.join(steps)}) AS sma_{head}")
+        cols.append(f"array({', '.join(steps)}) AS sma_{head}{suffix}")
     for count, gap, heads, name in ((29, 0.002, (2, 5, 8), "wide4"), (21, 0.003, (0, 3, 6), "wide20")):
         for k in heads:
             steps = [f"(0.5D * responder_{k} + {n(gap * i)}) / {n(scale)}" for i in range(count)]
-            cols.append(f"array({', '.join(steps)}) AS {name}_{k}")
+            cols.append(f"array({', '.join(steps)}) AS {name}_{k}{suffix}")
     return df.selectExpr("*", *cols)
 
 

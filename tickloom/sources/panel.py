@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +65,38 @@ def write_partitioned_cache(df: DataFrame, path: str, partition: str = "date_id"
     return scan_panel(spark, path, schema).select(*schema.names)
 
 
+def write_bucketed_cache(
+    df: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], buckets: int, level: int = 11
+) -> DataFrame:
+    """Write once, hashed by ``keys`` into ``buckets`` sorted files, and return a table that knows it.
+
+    Aggregates, windows and joins on the keys then need no shuffle of this side. The table is registered in the session's
+    catalog under a name made from the folder; a folder that another session has finished is registered as it is.
+    The number of buckets is part of the folder, so that a different number is a different table.
+    """
+    spark, schema = df.sparkSession, df.schema
+    where = f"{path.rstrip('/')}-{buckets}-buckets"
+    name = f"tickloom_{hashlib.sha256(where.encode()).hexdigest()[:16]}"
+    quoted = lambda names: ", ".join(f"`{c}`" for c in names)
+    if not table_is_complete(spark, where):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        (
+            df.repartition(buckets, *keys)
+            .write.mode("overwrite")
+            .format("parquet")
+            .bucketBy(buckets, *keys)
+            .sortBy(*order)
+            .option("compression", "zstd")
+            .option("parquet.compression.codec.zstd.level", str(level))
+            .option("path", where)
+            .saveAsTable(name)
+        )
+    elif not spark.catalog.tableExists(name):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({quoted(keys)}) SORTED BY ({quoted(order)}) INTO {buckets} BUCKETS LOCATION '{where}'")
+    return spark.table(name)
+
+
 def schema_contract(df: DataFrame, expected: Sequence[str]) -> DataFrame:
     """One row per position where the ordered column list differs from the expected one."""
     actual, expected = df.columns, list(expected)
