@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.select import in_dates
-from tickloom.operators.series import SeriesLayout, attach_group_stats, is_short, join_sized, shift_columns
+from tickloom.operators.series import SeriesLayout, attach_group_stats, is_short, shift_columns
 from tickloom.schema import INDEX, LAG_STEPS, RESPONDERS, SMA_RESPONDERS, lag_name
 from tickloom.sources.panel import write_bucketed_cache, write_partitioned_cache
 
@@ -79,10 +79,12 @@ def attach_prev_day_lags(df: DataFrame, lags: DataFrame) -> DataFrame:
     """Add the 90 tail values of the previous date to every row: one pivot and one join.
 
     From ``clustered_lag_responders`` neither the pivot nor the join moves a lag row; only ``df`` is shuffled, and not even
-    that if it is a table of the same clustering. No job runs before the result is asked for.
+    that if it is a table of the same clustering. No job runs before the result is asked for. Rows with a null date or symbol
+    have no tails.
     """
-    tails = lag_tail_pivot(in_dates(lags, df.select("date_id")))
-    return join_sized(df, tails, ["date_id", "symbol_id"])
+    tails = lag_tail_pivot(in_dates(lags, df.select("date_id"))).withColumnsRenamed({"date_id": "__date", "symbol_id": "__symbol"})
+    # Plain equality, as a null-safe one hides the clustering.
+    return df.join(tails, (F.col("date_id") == F.col("__date")) & (F.col("symbol_id") == F.col("__symbol")), "left").drop("__date", "__symbol")
 
 
 def self_join_day_lags(df: DataFrame, column: str, lags: int) -> DataFrame:

@@ -174,7 +174,7 @@ def _reduced(df: DataFrame, sets: Mapping, weight: str, by: Sequence[str]) -> tu
         if weights:
             values["total"] = text.total([f"{values[n]} * {text.number(f)}" for n, f in weights.items()])
         cells += [f"named_struct('version', {version}, 'name', '{n}', 'loss', {v})" for n, v in values.items()]
-    rows = df.selectExpr(*[text.name(c) for c in by], *[f"{e} AS {n}" for e, n in numbers.items()], "monotonically_increasing_id() AS __row")
+    rows = df.selectExpr(*[text.name(c) for c in by], *[f"coalesce({e}, 0.0D) AS {n}" for e, n in numbers.items()], "monotonically_increasing_id() AS __row")
     sums = rows.groupBy(*by).agg(*[F.sum(n).alias(f"sum_{n}") for n in numbers.values()], F.count("__row").alias("n"))
     return sums, f"array({', '.join(cells)})"
 

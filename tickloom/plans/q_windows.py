@@ -106,14 +106,15 @@ def _(spark, sf):
     return table.select(*INDEX, "lag_time_id", *rn(*SHIFTED))
 
 
-_lag_tables: dict[tuple[str, str], str] = {}
+_lag_tables: dict = {}
 
 
 def written_lags(spark, sf):
     """The clustered lag table of a panel, written on the first use in an application and scanned afterwards."""
     key = (spark.sparkContext.applicationId, sf)
-    path = _lag_tables.setdefault(key, shared_dir(spark, "lag-table"))
-    return lags.clustered_lag_responders(panel(spark, sf), path, buckets=16)
+    if key not in _lag_tables:
+        _lag_tables[key] = lags.clustered_lag_responders(panel(spark, sf), shared_dir(spark, "lag-table"), buckets=16)
+    return _lag_tables[key]
 
 
 @query("lag_tail_pivot", LAG_TABLE + TAILS + f" SELECT date_id, symbol_id, {sn(*_TAIL_NAMES)} FROM TP")
