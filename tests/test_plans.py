@@ -9,7 +9,7 @@ from tickloom.operators import features, lags, select
 from tickloom.operators.series import BY_DAY_DENSE
 from tickloom.schema import INDEX, RESPONDERS
 from tickloom.sources.fixtures import PANEL_FEATURES
-from tickloom.sources.panel import scan_panel, write_partitioned_cache
+from tickloom.sources.panel import scan_panel, write_bucketed_cache, write_partitioned_cache
 
 
 def plan(df) -> str:
@@ -35,13 +35,62 @@ def test_all_shifts_share_one_shuffle_and_sort(stored):
     assert shuffles(df) == 1 and plan(df).count("+- Sort") == 1
 
 
-def test_previous_day_tails_take_one_join(stored):
-    df = lags.attach_prev_day_lags(stored.select(*INDEX), lags.lag_responder_table(stored))
-    main = plan(df).split("SubqueryAdaptiveBroadcast")[0]
-    outer = [line for line in main.splitlines() if "LeftOuter" in line]
-    assert len(outer) == 2  # tails on the panel, and the series length inside the lag table
-    assert all("BroadcastHashJoin" in line for line in outer)  # the wide side is not shuffled
-    assert "BroadcastNestedLoop" not in plan(df) and "CartesianProduct" not in plan(df)
+def jobs(spark) -> int:
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+
+
+def test_tails_come_from_the_clustered_table_without_moving_it(spark, stored, tmp_path):
+    table = lags.clustered_lag_responders(stored, str(tmp_path / "lags"), buckets=4)
+    again = lags.clustered_lag_responders(stored, str(tmp_path / "lags"), buckets=4)
+    assert again.inputFiles() == table.inputFiles()
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # these tables are small enough for a broadcast
+    try:
+        before = jobs(spark)
+        df = lags.attach_prev_day_lags(stored.select(*INDEX), table)
+        text = plan(df).splitlines()
+        assert jobs(spark) == before  # nothing runs while the query is built
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    scan = next(i for i, line in enumerate(text) if "Bucketed: true" in line)
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in text]
+    above, at = [], depth[scan]
+    for i in range(scan - 1, -1, -1):
+        if depth[i] < at:
+            above.append(text[i])
+            at = depth[i]
+    assert any("SortMergeJoin" in line for line in above) and not any("Exchange" in line for line in above)
+    want = lags.attach_prev_day_lags(stored.select(*INDEX), lags.lag_responder_table(stored))
+    assert df.exceptAll(want).isEmpty() and df.count() == want.count()
+
+
+def test_a_table_of_the_same_clustering_is_not_moved_either(spark, stored, tmp_path):
+    table = lags.clustered_lag_responders(stored, str(tmp_path / "lags"), buckets=4)
+    rows = write_bucketed_cache(stored.select(*INDEX), str(tmp_path / "rows"), ["date_id", "symbol_id"], list(INDEX), 4)
+    tails = lags.lag_tail_pivot(table).withColumnsRenamed({"date_id": "d", "symbol_id": "s"})
+    assert shuffles(rows.join(tails, (F.col("date_id") == F.col("d")) & (F.col("symbol_id") == F.col("s")), "left")) == 0
+
+
+def test_group_statistics_run_no_job_while_the_query_is_built(spark, stored):
+    before = jobs(spark)
+    lags.lag_responder_table(stored)
+    features.mean_features(stored, PANEL_FEATURES)
+    assert jobs(spark) == before
+
+
+def test_losses_of_all_versions_take_one_scan_and_one_series_shuffle(spark, stored):
+    from tickloom.plans import losses
+    from tickloom.plans.q_metrics import _COLUMNS, TRAIN_VERSIONS, _trained
+    from tickloom.sources import fixtures
+
+    key = (spark.sparkContext.applicationId, "stored")
+    fixtures._staged[key] = (stored.inputFiles()[0].rsplit("/date_id=", 1)[0], stored.schema)
+    try:
+        df = losses.train_losses(_trained(spark, "stored"), {v: _COLUMNS[v] for v in TRAIN_VERSIONS}, PANEL_FEATURES)
+        text = plan(df)
+    finally:
+        del fixtures._staged[key]
+    assert text.count("FileScan") == 1 and text.count("Exchange hashpartitioning") == 1
 
 
 def test_date_list_is_a_broadcast_semi_join(stored):

@@ -287,17 +287,73 @@ def test_shared_folder_follows_the_session():
         shared_dir(FakeSession("yarn", None), "x")
 
 
-def test_streamed_lag_carries_over_batches(spark, tmp_path):
-    """A series that spans micro-batches, with gaps in its slots."""
+@pytest.mark.parametrize("newest_first", [False, True])
+def test_streamed_lag_takes_order_from_the_data(spark, tmp_path, newest_first):
+    """A series that spans micro-batches, with gaps in its slots, nulls beside NaN, and files in either order."""
     from tickloom.streaming import replay as st
 
-    data = [(0, t, 0, float(t)) for t in (0, 2, 3, 7, 8, 20, 21, 22)] + [(1, t, 0, float(t)) for t in (0, 5)]
+    data = [(0, t, 0, None if t == 3 else float("nan") if t == 8 else float(t)) for t in (0, 2, 3, 7, 8, 20, 21, 22)] + [(1, t, 0, float(t)) for t in (0, 5)]
     df = spark.createDataFrame(data, "date_id smallint, time_id int, symbol_id smallint, feature_00 double")
-    src = st.stage_stream(df, str(tmp_path / "in"), files=4)
-    out = st.intraday_lag(st.read_staged(spark, src, batches=5), str(tmp_path / "work"), ["feature_00"])
+    src = st.stage_stream(df, str(tmp_path / "in"), files=4, newest_first=newest_first)
+    out = st.intraday_lag(st.read_staged(spark, src, batches=5), str(tmp_path / "work"), ["feature_00"], dates_late=5)
     want = rows(features.lagged_features(df, 1, ["feature_00"]).drop("feature_00"), "date_id", "time_id")
-    assert rows(out, "date_id", "time_id") == want
-    assert spark.read.parquet(str(tmp_path / "work" / "out")).select("batch").distinct().count() >= 3
+    assert str(rows(out, "date_id", "time_id")) == str(want)
+
+
+def test_late_rows_come_out_beside_the_kept(spark, tmp_path):
+    from tickloom.streaming import replay as st
+
+    schema = "date_id int, time_id int, symbol_id int, x double"
+    sent = [
+        [(0, 0, 1, 1.0), (0, 0, 1, 0.5), (3, 0, 1, 2.0)],  # a copy at once: the smaller row stays
+        [(0, 0, 2, 9.0), (2, 1, 1, 4.0), (3, 0, 1, 2.5), (5, 0, 1, 3.0)],  # behind the watermark, on time, known
+        [(3, 0, 1, 7.0), (4, 1, 1, 5.0)],
+    ]
+    for part in sent:
+        st.deliver(spark.createDataFrame(part, schema), str(tmp_path / "in"))
+        stream = st.read_deliveries(spark, str(tmp_path / "in"), st.with_event_time(spark.createDataFrame(part, schema)).schema)
+        kept, late = st.dedup_with_late(stream, str(tmp_path / "work"))
+    assert sorted(r.x for r in kept.collect()) == [0.5, 2.0, 3.0, 4.0, 5.0]
+    assert sorted(r.x for r in late.collect()) == [7.0, 9.0]
+
+
+@pytest.mark.parametrize("batches", [1, 2, 8])
+def test_online_epochs_do_not_depend_on_batches(spark, tmp_path, batches):
+    from tickloom.streaming import replay as st
+
+    df = spark.createDataFrame([(d, t, s, 1.0, float(d + t)) for d in range(9) for t in range(3) for s in range(2)], "date_id smallint, time_id int, symbol_id smallint, weight double, feature_00 double")
+    src = st.stage_stream(df.where("date_id >= 6"), str(tmp_path / "in"), files=8)
+    out = st.online_samples(
+        st.read_staged(spark, src, batches), str(tmp_path / "work"), 1, df.where("date_id < 4"), df.where("date_id IN (4, 5)"), 2, 1, ["feature_00"], columns=["date_id", "time_id"]
+    )
+    counts = {}
+    for r in out.groupBy("epoch", "date_id").count().collect():
+        counts.setdefault(r.epoch, {})[r.date_id] = r["count"]
+    assert set(counts) == {6, 7, 8}
+    for epoch, got in counts.items():
+        assert got.pop(epoch) == 12 and set(got.values()) == {6} and len(got) == 3 and sum(d < 4 for d in got) == 2
+
+
+@pytest.mark.parametrize("stride", [1, 2, 5, 7])
+def test_chunks_cut_from_blocks(spark, stride):
+    df = spark.createDataFrame([(d, t, s, float(100 * d + t)) for s in (0, 1) for d in range(3) for t in range(15 + s)], "date_id smallint, time_id int, symbol_id smallint, x double")
+    got = {(r.symbol_id, r.position): (r.past, r.future) for r in chunks.chunk_windows(df, "x", 3, 2, stride=stride, block_bits=3).collect()}
+    want = {}
+    for s in (0, 1):
+        x = [float(100 * d + t) for d in range(3) for t in range(15 + s)]
+        want |= {(s, i + 2): (x[i : i + 3], x[i + 3 : i + 5]) for i in range(0, len(x) - 4, stride)}
+    assert got == want
+
+
+def test_named_losses_by_batch(spark):
+    """Means of per-batch ratios weighted by rows; a batch whose targets weigh nothing is left out."""
+    df = spark.createDataFrame([(0, 1.0, 1.0, 2.0), (0, 1.0, 0.0, 1.0), (1, 2.0, 3.0, 3.0), (2, 0.0, 1.0, 5.0)], "date_id int, weight double, p double, y double")
+    sets = {7: ([metrics.LossTerm("a", (("r2", (("p", "y"),)),)), metrics.LossTerm("b", (("mse", (("p", "y"),)),), 2.0)], {"a": 1.0, "b": 0.5})}
+    got = {r.name: (r.loss, r.n, r.batches) for r in metrics.version_batch_losses(df, sets).collect()}
+    assert got["a"] == (pytest.approx((2 / 5 * 2 + 0 * 1) / 3), 4, 3)
+    assert got["b"] == (pytest.approx(2 * (1 * 2 + 0 + 16) / 4), 4, 3)
+    pooled = {r.name: r.loss for r in metrics.version_losses(df, sets).collect()}
+    assert pooled["a"] == pytest.approx(2 / 23) and pooled["total"] == pytest.approx(2 / 23 + 0.5 * 2 * 18 / 4)
 
 
 def test_stream_rows_without_a_place_on_the_clock_stop_the_job(spark, tmp_path):

@@ -99,13 +99,32 @@ def test_mean_paths_agree(gapped):
     same(pick(wide), pick(window))
 
 
-def test_join_sized_falls_back_to_shuffle(gapped, monkeypatch):
-    small = gapped.groupBy("date_id").agg(F.max("time_id").alias("m"))
+def test_join_sized_broadcasts_by_estimate(spark, gapped, monkeypatch, tmp_path):
+    gapped.groupBy("date_id").agg(F.max("time_id").alias("m")).write.parquet(str(tmp_path / "small"))
+    small = spark.read.parquet(str(tmp_path / "small"))
     assert "ResolvedHint" in join_sized(gapped, small, ["date_id"])._jdf.queryExecution().analyzed().toString()
     monkeypatch.setattr("tickloom.operators.series.BROADCAST_LIMIT", 0)
     assert "ResolvedHint" not in join_sized(gapped, small, ["date_id"])._jdf.queryExecution().analyzed().toString()
 
 
+@pytest.mark.parametrize("rounds", [(16, 16, 16, 16), (8,) * 8, (4, 30, 30)])
+def test_quantiles_split_a_crowded_cell(spark, rounds):
+    """All values share their first digits; each round's window holds the cells of one digit only."""
+    values = [1.0 + i * 2.0**-50 for i in range(3000)] + [float("nan"), None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = {r.q: r.value for r in exact_quantiles(df, F.col("v"), [0.0, 0.3, 0.5, 1.0], rounds=rounds).collect()}
+    want = df.where("not isnan(v)").agg(F.percentile("v", F.array(*[F.lit(q) for q in (0.0, 0.3, 0.5, 1.0)]))).first()[0]
+    assert [got[q] for q in (0.0, 0.3, 0.5, 1.0)] == want
+    signs = spark.createDataFrame([(x,) for x in (-0.0, 0.0, -1e300, 1e300, -5e-324, 5e-324, float("-inf"), float("inf"), -2.5)], "v double")
+    assert {r.q: r.value for r in exact_quantiles(signs, F.col("v"), [0.0, 0.125, 0.25, 0.5, 1.0], rounds=rounds).collect()} == {
+        0.0: float("-inf"), 0.125: -1e300, 0.25: -2.5, 0.5: 0.0, 1.0: float("inf")}
+
+
+def test_quantiles_of_null_groups(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), (1, 5.0)], "g int, v double")
+    assert {r.g: r.value for r in exact_quantiles(df, F.col("v"), [0.5], ["g"]).collect()} == {None: 2.0, 1: 5.0}
+
+
 def test_exact_quantiles_match_percentile(gapped, spark):
     rng = random.Random(9)
     data = [(g, rng.choice([0.0, 1.0, rng.gauss(0, 1), rng.gauss(0, 1e6), -rng.random()])) for g in (0,) * 800 + (1,) * 5]

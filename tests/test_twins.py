@@ -21,15 +21,6 @@ def test_twins_belong_to_queries():
     assert len(QUERIES) - len(TWINS) <= 4
 
 
-def test_stream_online_sample_counts(spark):
-    """Each epoch holds the sampled dates once and its own batch twice."""
-    out = QUERIES["stream_online_sample"](spark, SMALL).toPandas()
-    newest = out[out.date_id >= 75]
-    assert (newest.n % 2 == 0).all()
-    real = QUERIES["distinct_sorted_dates"](spark, SMALL).toPandas()
-    assert set(newest.date_id) == set(real.date_id[real.date_id >= 75])
-
-
 def test_flattened_and_compared_fits(spark):
     flat = QUERIES["fit_flattened_targets"](spark, SMALL).toPandas()
     assert sorted(flat.responder_num) == list(range(9)) and (flat.loss > 0).all()

@@ -61,7 +61,8 @@ def exact_quantiles(
         targets = _hits(ranked.join(targets, ["__g", "__p"]).drop("__p").withColumnRenamed("__c", "__p"))
     low = F.max(F.when(F.col("side") == 0, F.col("__v")))
     high = F.max(F.when(F.col("side") == 1, F.col("__v")))
-    found = targets.groupBy("__g", "q").agg((low + (high - low) * F.max("frac")).alias("value"))
+    # Between equal values nothing is interpolated: infinity less itself is no number.
+    found = targets.groupBy("__g", "q").agg(F.when(low == high, low).otherwise(low + (high - low) * F.max("frac")).alias("value"))
     return found.select(*[F.col(f"__g.`{c}`").alias(c) for c in group], "q", "value")
 
 
