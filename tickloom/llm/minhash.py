@@ -127,11 +127,15 @@ def near_dedup(
                     recent.clear()
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(counts, pa.int64()), pa.array(prints, pa.binary()), pa.array(signs, pa.binary())], names=["id", "n", "fp", "sig"])
 
-    rows, _ = stage(src.mapInArrow(sign, "id long, n long, fp binary, sig binary"), "near-rows")
+    signed_rows, signed_path = stage(src.mapInArrow(sign, "id long, n long, fp binary, sig binary"), "near-signed")
+    # The result reads these; signatures go on with the nodes alone.
+    rows, _ = stage(signed_rows.select("id", "n", "fp"), "near-rows")
 
     # One node per distinct set, named by its smallest document.
-    groups = rows.where("fp is not null").groupBy("fp").agg(F.min("id").alias("node"), F.first("sig").alias("sig"), F.first("n").alias("n"))
+    groups = signed_rows.where("fp is not null").groupBy("fp").agg(F.min("id").alias("node"), F.first("sig").alias("sig"), F.first("n").alias("n"))
     nodes, nodes_path = stage(groups.where("node is not null").groupBy("node").agg(F.first("sig").alias("sig"), F.max("n").alias("n")), "near-nodes")
+    discard(spark, signed_path)
+    named_by = rows.where("fp is not null").groupBy("fp").agg(F.min("id").alias("node")).where("node is not null")
 
     j = F.sequence(F.lit(0), F.lit(BANDS - 1))
     bands = nodes.select("node", "n", F.posexplode(F.transform(j, lambda k: F.xxhash64(k, F.col("sig").substr(k * ROWS + 1, F.lit(ROWS))))).alias("j", "band"))
@@ -183,10 +187,12 @@ def near_dedup(
 
     first, first_path = confirm(near, "near-first")
     part, part_path = stage(components(first), "near-part")
-    second, second_path = stage(_within_bands(members, part, signs, bodies, shingle, threshold, floor), "near-second")
-    whole, _ = stage(components(first.unionByName(second)), "near-components")
-    named, _ = stage(groups.where("node is not null").select("fp", "node").join(whole, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "near-named")
-    discard(spark, nodes_path, members_path, met_path, bodies_path, near_path, first_path, part_path, second_path)
+    pairs, work_path = _within_bands(members, part, signs, bodies, shingle, threshold, floor)
+    second, second_path = stage(pairs, "near-second")
+    discard(spark, work_path)
+    whole, whole_path = stage(components(first.unionByName(second)), "near-components")
+    named, _ = stage(named_by.join(whole, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "near-named")
+    discard(spark, nodes_path, members_path, met_path, bodies_path, near_path, first_path, part_path, second_path, whole_path)
     return _result(rows, named, id_col)
 
 
@@ -205,12 +211,14 @@ def _result(rows: DataFrame, named: DataFrame | None, id_col: str) -> DataFrame:
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), label.alias("component_id"), F.col("id").eqNullSafe(label).alias("kept"))
 
 
-def _within_bands(members: DataFrame, part: DataFrame, signs: DataFrame, bodies: DataFrame, shingle: int, threshold: tuple[int, int], floor: float) -> DataFrame:
+def _within_bands(members: DataFrame, part: DataFrame, signs: DataFrame, bodies: DataFrame, shingle: int, threshold: tuple[int, int], floor: float) -> tuple[DataFrame, str]:
     """Links between documents that share a band and lie in different components.
 
     The band's largest component need not meet itself. Its members lie in blocks of at most about BLOCK
     members and BLOCK_SHINGLES shingles; the others in blocks of their own, which meet each other and all
-    blocks of the largest component.
+    blocks of the largest component. Pieces of work on the same blocks of the same largest component, one for each band, go to
+    one task, and a text goes to a task once, whatever the number of its pieces there. Returns the links, yet to be
+    computed, and the path of the staged pieces they are computed from.
     """
     rows = members.join(part, "node", "left").select("band", "j", "node", "n", F.coalesce("component", "node").alias("c"))
     sizes = rows.groupBy("band", "c").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("s"))
@@ -228,21 +236,23 @@ def _within_bands(members: DataFrame, part: DataFrame, signs: DataFrame, bodies:
         F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("x"), F.greatest(x, F.col("own")).alias("y"))),
         F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda y: F.struct(F.col("own").alias("x"), (F.col("q") + y).alias("y"))),
     )
-    work = rows.withColumn("w", F.explode(F.when(F.col("is_main"), of_main).otherwise(of_other))).select("node", "n", "c", "is_main", "j", F.xxhash64("band", "w.x", "w.y").alias("piece"))
-    work, _ = stage(work, "near-work")
+    work = rows.withColumn("w", F.explode(F.when(F.col("is_main"), of_main).otherwise(of_other))).select("node", "n", "c", "is_main", "j", F.xxhash64("band", "w.x", "w.y").alias("piece"), F.xxhash64("main", "w.x", "w.y").alias("place"))
+    work, work_path = stage(work, "near-work")
     load = work.agg(F.count(F.lit(1)).alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("s")).first()
     groups = max(1, load.k // TASK_ROWS, load.s // TASK_SHINGLES)
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+    def compare(pdf: pd.DataFrame, bodies_here: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("piece", kind="stable")
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint64).reshape(len(pdf), -1)
-        bands = np.frombuffer(sig, np.uint8).reshape(len(pdf), BANDS, ROWS)
-        node, comp, main, piece, band, text = (pdf[c].to_numpy() for c in ("node", "c", "is_main", "piece", "j", "text"))
+        held = bodies_here.sort_values("node_sent")
+        at = np.searchsorted(held["node_sent"].to_numpy(), pdf["node"].to_numpy())
+        every = np.frombuffer(b"".join(held["sig"]), np.uint64).reshape(len(held), -1)
+        texts_here = held["text"].to_numpy()
+        node, comp, main, piece, band = (pdf[c].to_numpy() for c in ("node", "c", "is_main", "piece", "j"))
         known, sets, joined, out = _WordHash(), {}, {}, []
 
         def full(x: int) -> frozenset:
             if node[x] not in sets:
-                sets[node[x]] = frozenset(shingle_hashes(text[x].encode().lower().split(), shingle, known).tolist())
+                sets[node[x]] = frozenset(shingle_hashes(texts_here[at[x]].encode().lower().split(), shingle, known).tolist())
             return sets[node[x]]
 
         def root(c: int) -> int:
@@ -254,14 +264,16 @@ def _within_bands(members: DataFrame, part: DataFrame, signs: DataFrame, bodies:
         for lo, hi in zip([0, *cuts], [*cuts, len(pdf)], strict=True):
             sets.clear()
             known.clear()
+            sig = every[at[lo:hi]]
+            bands = sig.view(np.uint8).reshape(hi - lo, BANDS, ROWS)
             for i in range(lo, hi):
                 if main[i]:
                     continue
                 j = np.arange(lo, hi)
                 j = j[(comp[lo:hi] != comp[i]) & (main[lo:hi] | (j > i))]
-                likely = similarity(sig[j], sig[i])
+                likely = similarity(sig[j - lo], sig[i - lo])
                 j = j[np.argsort(-likely, kind="stable")][: int((likely >= floor).sum())]  # likeliest first
-                for x in j[(bands[j] == bands[i]).all(axis=2).argmax(axis=1) == band[i]]:
+                for x in j[(bands[j - lo] == bands[i - lo]).all(axis=2).argmax(axis=1) == band[i]]:
                     a, b = root(comp[i]), root(comp[x])
                     if a == b:
                         continue
@@ -272,9 +284,11 @@ def _within_bands(members: DataFrame, part: DataFrame, signs: DataFrame, bodies:
                         out.append((min(node[i], node[x]), max(node[i], node[x])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    keyed = work.join(signs, "node").join(bodies.withColumnRenamed("id", "node"), "node")
-    dealt = keyed.select("node", "c", "is_main", "j", "piece", "sig", F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.col("piece"), F.lit(groups)).alias("g"))
-    return dealt.groupBy("g").applyInPandas(compare, "a long, b long")
+    dealt = work.select("node", "c", "is_main", "j", "piece", F.pmod(F.col("place"), F.lit(groups)).alias("g"))
+    sent = dealt.select("g", "node").distinct().join(signs, "node").join(bodies.select(F.col("id").alias("node"), F.coalesce("text", F.lit("")).alias("text")), "node")
+    # New names, as both sides come from the same pieces.
+    sent = sent.select(F.col("g").alias("g_sent"), F.col("node").alias("node_sent"), "sig", "text")
+    return dealt.groupBy("g").cogroup(sent.groupBy("g_sent")).applyInPandas(compare, "a long, b long"), work_path
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
