@@ -46,7 +46,7 @@ def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def _clean(token: str) -> str:
     """Letters of a word, in lower case; empty if it has none."""
-    return "".join(_LETTERS.findall(token.lower()))
+    return "".join(c for w in _LETTERS.findall(token.lower()) for c in (w if w.isalpha() else filter(str.isalpha, w)))
 
 
 @dataclass

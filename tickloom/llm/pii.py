@@ -188,14 +188,15 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", inverse: boo
     replaced; texts without personal data, empty ones included, stay as they are; repeated rows get
     equal results; an empty table gives an empty result. DataFrame functions only, no shuffle.
     """
-    count, hits = fresh(docs.columns, "n_replaced", "x_found")
-    text, found = F.col(f"`{text_col}`"), F.col(hits)
+    count, hits, made = fresh(docs.columns, "n_replaced", "x_found", "x_made")
+    text, found, new = F.col(f"`{text_col}`"), F.col(hits), F.col(made)
     # Texts are searched once; only those with personal data are split as well.
     searched = docs.withColumn(hits, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
-    new = F.transform(found, lambda m: pseudonym(m, key, inverse))
+    searched = searched.withColumn(made, F.transform(found, lambda m: pseudonym(m, key, inverse)))
     parts = F.zip_with(F.split(text, PATTERN, -1), new, lambda p, r: F.concat(p, F.coalesce(r, F.lit(""))))
     hit = F.size(found) > 0
     changed = F.when(hit, F.array_join(parts, "")).otherwise(text)
-    amount = F.when(hit, F.size(found)).otherwise(0)
+    # Values that failed their validation came back as they were.
+    amount = F.when(hit, F.size(F.filter(F.zip_with(found, new, lambda a, b: a != b), lambda x: x))).otherwise(0)
     columns = [changed.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     return searched.select(*columns, amount.cast("int").alias(count))

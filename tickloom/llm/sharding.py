@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import stage
 
 #: Bins of one histogram round; two rounds give the place of a median among BINS^2 bins.
 BINS = 4096
-#: A point (rows of equal text) of more than this share of a shard is dealt in parts.
-LARGEST_POINT = 1 / 64
+#: Texts whose rows weigh more than this share of a shard get their shards first; there are at most shards / HEAVY of them.
+HEAVY = 1 / 64
 #: Rows that one task numbers.
 RUN_ROWS = 100_000
 
@@ -29,11 +30,12 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """Deal documents to ``shards`` shards of near equal bytes, cut along metadata.
 
     A document weighs its UTF-8 bytes (null text: none) plus 16. A point of the tree is a text: its
-    rows weigh together and stay together, unless they weigh more than LARGEST_POINT of a shard;
-    then hash parts of them are points. Dimensions, each scaled to [0, 1): size (logarithm), source and language
+    rows weigh together and stay together; only a text that weighs more than a whole shard is dealt to several, in
+    parts by a hash of the id. Texts and parts of more than HEAVY of a shard are placed first, the heaviest on the shard with
+    most room, and the tree deals all others to the room that is left, leaf by leaf. Dimensions, each scaled to [0, 1): size (logarithm), source and language
     (hash; the smallest one of a text's copies). All parts of one depth are cut at once, along the dimension
-    with the widest spread in that part, at the weighted median (the weighted k/n quantile where the
-    number of shards is odd), until each part weighs one shard's bytes. Order along a dimension is by
+    with the widest spread in that part, at the weighted quantile that gives each side the room of its shards (the median,
+    where shards have equal room), until each part fills one shard. Order along a dimension is by
     value, then by hash of the text, so ties are cut too. Only sums for at most ``shards * BINS`` bins per round reach
     the driver, whatever the input.
 
@@ -63,15 +65,20 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     total = rows.agg(F.sum("size")).first()[0]
     if not total:
         return _numbered(rows.withColumn("shard", F.lit(0)), id_col)
-    most = max(1.0, LARGEST_POINT * total / shards)
+    whole = max(1.0, total / shards)
 
     # Points: a text's rows, or parts of them. Size and two hashes tell texts apart.
     per_text = rows.groupBy("size", "crc", "h").agg(F.sum("size").alias("w"), F.min("source").alias("source"), F.min("lang").alias("lang"))
-    per_text = per_text.withColumn("parts", F.when(F.col("w") > most, F.ceil(F.col("w") / most)).otherwise(1).cast("int"))
+    per_text = per_text.withColumn("parts", F.when(F.col("w") > whole, F.ceil(F.col("w") / whole)).otherwise(1).cast("int"))
     per_text, _ = stage(per_text, "shard-texts")
-    heavy = per_text.where("parts > 1").select("size", "crc", "h", F.col("parts").alias("deal"))  # at most shards / LARGEST_POINT
-    dealt = rows.join(F.broadcast(heavy), ["size", "crc", "h"], "left").withColumn("part", F.when(F.col("deal").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("deal"))).cast("int"))
-    points = dealt.groupBy("size", "crc", "h", "part").agg(F.sum("size").alias("w")).join(per_text.select("size", "crc", "h", "source", "lang"), ["size", "crc", "h"])
+    split = per_text.where("parts > 1").select("size", "crc", "h", F.col("parts").alias("deal"))  # at most one for each shard
+    dealt = rows.join(F.broadcast(split), ["size", "crc", "h"], "left").withColumn("part", F.when(F.col("deal").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("deal"))).cast("int"))
+    weights = dealt.groupBy("size", "crc", "h", "part").agg(F.sum("size").alias("w"))
+    points = weights.join(per_text.select("size", "crc", "h", "source", "lang"), ["size", "crc", "h"])
+    points, _ = stage(points, "shard-weights")
+    heavy = points.where(F.col("w") > HEAVY * whole).select("w", "size", "crc", "h", "part").collect()  # at most shards / HEAVY
+    homes, room = _place_heavy(heavy, shards, whole)
+    points = points.where(F.col("w") <= HEAVY * whole)
     fine = F.pmod(F.xxhash64("h", "crc", "part"), F.lit(1 << 20))
     values = {"size": (F.log2(F.col("size")) * (1 << 16)).cast("long"), "source": F.col("source") + 1, "lang": F.col("lang") + 1}
     dims = list(values)
@@ -88,6 +95,8 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         here = points.withColumn("node", node).where(F.col("node").isin([n.first for n in todo]))
         edges = here.groupBy("node").agg(F.sum("w").alias("w"), *[f(f"d_{d}").alias(f"{k}_{d}") for d in dims for k, f in (("lo", F.min), ("hi", F.max))])
         stats = {r.node: r for r in edges.collect()}  # one row per part
+        if not stats:
+            break
         span = span or {d: max(1, stats[0][f"hi_{d}"] - stats[0][f"lo_{d}"]) for d in dims}
         plan = {}
         for n in todo:
@@ -95,7 +104,9 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
             if r is None:
                 continue
             d = max(dims, key=lambda d: ((r[f"hi_{d}"] - r[f"lo_{d}"]) / span[d], d))
-            plan[n.first] = (d, r[f"lo_{d}"], r[f"hi_{d}"] + 1, r.w * (n.shards // 2) / n.shards)
+            first, middle, last = n.first, n.first + n.shards // 2, n.first + n.shards
+            share = sum(room[first:middle]) / max(1.0, sum(room[first:last]))
+            plan[n.first] = (d, r[f"lo_{d}"], r[f"hi_{d}"] + 1, r.w * share)
         # Two or more rounds: the histogram of a range, then of the bin in which the quantile lies.
         below = dict.fromkeys(plan, 0)
         while any(hi - lo > 1 for _, lo, hi, _ in plan.values()):
@@ -130,11 +141,28 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         node = _walk(cuts)
 
     leaves = points.select("size", "crc", "h", "part", node.alias("shard"))
-    single = per_text.where("parts = 1").select("size", "crc", "h")
-    of_text = leaves.join(single, ["size", "crc", "h"], "left_semi").select("size", "crc", "h", "shard")
-    of_part = leaves.join(F.broadcast(heavy), ["size", "crc", "h"], "left_semi").select("size", "crc", "h", "part", F.col("shard").alias("part_shard"))
-    out = dealt.join(of_text, ["size", "crc", "h"], "left").join(F.broadcast(of_part), ["size", "crc", "h", "part"], "left")  # parts: at most 2 * shards / LARGEST_POINT
-    return _numbered(out.select("id", "size", "crc", F.coalesce("part_shard", "shard").alias("shard")), id_col)
+    columns = ["id", "size", "crc", "shard"]
+    if not homes:
+        return _numbered(dealt.join(leaves, ["size", "crc", "h", "part"]).select(*columns), id_col)
+    # Rows of heavy points find their shards without a shuffle.
+    cells = ", ".join(f"({r.size}L, {r.crc}L, {r.h}L, {r.part}, {k})" for r, k in homes)
+    home = spark.sql(f"SELECT * FROM VALUES {cells} AS t(size, crc, h, part, home)")
+    known = dealt.join(F.broadcast(home), ["size", "crc", "h", "part"], "left")
+    light = known.where("home IS NULL").join(leaves, ["size", "crc", "h", "part"]).select(*columns)
+    return _numbered(light.unionByName(known.where("home IS NOT NULL").select("id", "size", "crc", F.col("home").alias("shard"))), id_col)
+
+
+def _place_heavy(heavy: list[Row], shards: int, whole: float) -> tuple[list[tuple[Row, int]], list[float]]:
+    """Shards of the heavy points, each on the one with most room, the heaviest first; and the room left in each shard."""
+    room = [(-whole, k) for k in range(shards)]
+    heapify(room)
+    homes = []
+    for r in sorted(heavy, key=lambda r: (-r.w, r.size, r.crc, r.h, r.part)):
+        left, k = heappop(room)
+        homes.append((r, k))
+        heappush(room, (left + r.w, k))
+    free = dict((k, max(0.0, -left)) for left, k in room)
+    return homes, [free[k] for k in range(shards)]
 
 
 def _walk(cuts: list[tuple[int, int, str, int]]) -> Column:

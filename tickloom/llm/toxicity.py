@@ -169,16 +169,20 @@ def score_toxicity(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_c
     """
     names = fresh(docs.columns, *[f"p_{c}" for c in CATEGORIES], "toxic_rejected")
     at = {w: i for i, w in enumerate(chain.words)}
-    schema = T.StructType(list(docs.schema.fields))
-    for n in names[:-1]:
-        schema = schema.add(n, "double")
-    schema = schema.add(names[-1], "boolean")
+    # Plain names inside: those of the input may hold dots.
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    given = docs.toDF(*plain)
+    body = plain[[c.lower() for c in docs.columns].index(text_col.lower())]
+    schema = T.StructType(list(given.schema.fields))
+    for i in range(len(names) - 1):
+        schema = schema.add(f"p{i}", "double")
+    schema = schema.add("rejected", "boolean")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, ...]] = {}
         for b in batches:
             x = np.zeros((b.num_rows, len(at)))
-            for i, t in enumerate(texts(b, text_col)):
+            for i, t in enumerate(texts(b, body)):
                 for w in set(t.decode().lower().split()):
                     hit = known.get(w)
                     if hit is None:
@@ -188,9 +192,9 @@ def score_toxicity(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_c
                 if len(known) > 300_000:
                     known.clear()
             p = chain.scores(x)
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array(p[:, -1] >= threshold)], names=[*b.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array(p[:, -1] >= threshold)], names=schema.names)
 
-    return docs.mapInArrow(judge, schema)
+    return given.mapInArrow(judge, schema).toDF(*docs.columns, *names)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
