@@ -41,7 +41,7 @@ def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced in the texts."""
     from tickloom.llm.pii import pseudonymize
 
-    return pseudonymize(docs, KEY).select(*docs.columns)
+    return pseudonymize(docs, KEY).select(*[f"`{c}`" for c in docs.columns])
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
