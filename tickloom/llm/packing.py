@@ -12,8 +12,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import slices, stage, texts
-from tickloom.llm.wordbpe import Codes, encoder, gather
+from tickloom.llm.common import slices, stage, texts, worker_state
+from tickloom.llm.wordbpe import WordTable
 
 #: Sequences that a partition keeps open at once.
 OPEN = 64
@@ -109,18 +109,14 @@ def pack(
 
     def online(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = encoder(path).encode
+        table = worker_state(f"packing {path}", lambda: WordTable(path))
         part = TaskContext.get().partitionId()
         windows, number = OpenWindows(size, open_windows), part << 32
         for b in slices(batches, "text", BATCH_BYTES):
-            known = Codes()
-            lines = [np.fromiter(map(known.__getitem__, t.split()), np.int64) for t in texts(b, "text")]
-            table = encode([w.decode() for w in known])
-            lengths = np.fromiter(map(len, table), np.int64, len(table)) // 4
-            flat, starts = np.frombuffer(b"".join(table), "<u4"), np.cumsum(lengths) - lengths
+            lines = table.numbers([t.split() for t in texts(b, "text")])
             full = []
             for doc, codes in zip(b.column("id").to_pylist(), lines, strict=True):
-                ids = np.append(gather(codes, flat, starts, lengths), np.uint32(end_id)).astype("<u4")
+                ids = np.append(table.ids(codes), np.uint32(end_id)).astype("<u4")
                 for w in windows.place((doc, 0, ids, len(ids))):
                     full.append((number, w))
                     number += 1

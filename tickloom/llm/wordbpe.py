@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
+from itertools import islice
 
 import numpy as np
 
 from tickloom.llm.common import worker_state
 
-#: Letters whose lower case is one letter and which normalisation leaves alone, then full stops and the like.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: A line for each word: letters whose lower case is one letter and which normalisation leaves alone, then full stops and the
+#: like; or anything else.
+_PLAIN = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)|(.+))$", re.MULTILINE)
+_LETTERS = re.compile(r"[a-zà-öø-ÿ]+")
 #: Distinct words whose ids a Python worker remembers at once.
 WORDS = 300_000
 
@@ -37,7 +40,8 @@ class WordEncoder:
         """Encode words that make one piece each, many in one string."""
         for lo in range(0, len(words), 512):
             part = words[lo : lo + 512]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            # The batch call leaves out offsets, which nobody reads.
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(part):  # not one piece each after all
                 for w in part:
@@ -53,26 +57,18 @@ class WordEncoder:
         """Little-endian unsigned 32-bit ids of each word."""
         if len(self.known) > self.remember:
             self.known.clear()
-        split, plain, odd = [], {}, {}
-        for w in words:
-            m = _PLAIN.fullmatch(w)
-            if m:
-                a, b = m[1].lower(), m[2]
-                if a not in self.known:
-                    plain[a] = None
-                if b and b not in self.known:
-                    odd[b] = None
-                split.append((a, b))
-            else:
-                if w not in self.known:
-                    odd[w] = None
-                split.append((w, ""))
-        self._plain(list(plain))
-        if odd:
-            todo = list(odd)
-            for w, e in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
         known = self.known
+        split = [(a.lower() or o, b) for a, b, o in _PLAIN.findall("\n".join(words))]  # words hold no line feed
+        if len(split) != len(words):
+            raise ValueError("a word is empty or holds a line feed")
+        new = dict.fromkeys(x for x, _ in split if x not in known)
+        # A lower-cased plain word that is no letters any more, or a word beside letters, is encoded by itself.
+        plain = [w for w in new if _LETTERS.fullmatch(w)]
+        self._plain(plain)
+        odd = [*(w for w in new if w not in known), *(b for b in {b for _, b in split} if b and b not in known)]
+        if odd:
+            for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+                known[w] = np.array(e.ids, dtype="<u4").tobytes()
         return [known[a] + known[b] if b else known[a] for a, b in split]
 
 
@@ -89,6 +85,48 @@ class Codes(dict):
         return n
 
 
+class WordTable:
+    """Ids of all words that a worker has met, by number; only new words are encoded."""
+
+    def __init__(self, path: str, most: int = 700_000):
+        self.path, self.most = path, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.known, self.size, self.count = Codes(), 0, 0
+        self.flat, self.starts, self.lengths = np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def numbers(self, lines: list[list[bytes]]) -> list[np.ndarray]:
+        """Numbers of the words of each line; the table starts anew once it holds ``most`` words."""
+        if len(self.known) > self.most:
+            self.clear()
+        out = [np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)) for words in lines]
+        new = [w.decode() for w in islice(self.known, self.count, None)]
+        if new:
+            pieces = encoder(self.path).encode(new)
+            lengths = np.fromiter(map(len, pieces), np.int64, len(new)) // 4
+            ids = np.frombuffer(b"".join(pieces), "<u4")
+            self.flat = _room(self.flat, self.size, len(ids))
+            self.starts, self.lengths = (_room(a, self.count, len(new)) for a in (self.starts, self.lengths))
+            self.flat[self.size : self.size + len(ids)] = ids
+            self.starts[self.count : self.count + len(new)] = self.size + np.cumsum(lengths) - lengths
+            self.lengths[self.count : self.count + len(new)] = lengths
+            self.size, self.count = self.size + len(ids), self.count + len(new)
+        return out
+
+    def ids(self, numbers: np.ndarray) -> np.ndarray:
+        return gather(numbers, self.flat, self.starts, self.lengths)
+
+
+def _room(a: np.ndarray, used: int, more: int) -> np.ndarray:
+    """The array, with room for more entries; it grows by doubling."""
+    if used + more <= len(a):
+        return a
+    wide = np.zeros(max(2 * len(a), used + more), a.dtype)
+    wide[:used] = a[:used]
+    return wide
+
+
 def gather(codes: np.ndarray, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Concatenated pieces ``flat[starts[c] : starts[c] + lengths[c]]`` of all codes c."""
     n = lengths[codes]
