@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -11,7 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tickloom.llm import suffix
 from tickloom.llm.bpe import decode, encode_documents
+from tickloom.llm.common import stage
 from tickloom.llm.exact import deduplicated, exact_dedup, grow_directory
 from tickloom.llm.language import fit, identify, predict, training_rows
 from tickloom.llm.minhash import _WordHash, near_dedup, one_per_group
@@ -236,6 +239,43 @@ def test_passages_with_a_line_many_times_in_one_document(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
 
 
+@pytest.mark.parametrize("most", [2, 20])
+def test_passages_of_a_prefix_beyond_one_task(spark, monkeypatch, most):
+    """A prefix of more suffixes than a task compares: rows are parted by shared words, down to one split of a passage."""
+    monkeypatch.setattr(suffix, "MOST", most)
+    rng = np.random.default_rng(11)
+    text = [f"line{i}" for i in range(100_000)]
+    at = int(_rolling(np.fromiter(map(_WordHash().__getitem__, (w.encode() for w in text)), np.uint64, len(text)), GRAM)[:-20].argmin())
+    line, left, right = text[at : at + 20], [f"l{i}" for i in range(40)], [f"r{i}" for i in range(40)]
+    words = {}
+    for d in range(90):  # the same words around the line, some of them changed
+        before, after = list(left), list(right)
+        for side in (before, after):
+            for i in rng.integers(0, 40, rng.integers(0, 3)):
+                side[i] = f"x{rng.integers(0, 4)}"
+        words[d] = before[rng.integers(0, 30) :] + line + after[: rng.integers(10, 40)]
+    words |= {100 + d: words[d] for d in range(9)}
+    words[200] = line * 40
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in words.items()], "doc_id long, text string").repartition(5)
+    assert covered(repeated_passages(df)) == passages_by_brute_force(words)
+
+
+def test_passages_stage_less_than_the_texts(spark, monkeypatch):
+    """A text's words are staged once, whatever the number of its suffixes and of ways to split a passage around them."""
+    paths = []
+
+    def staged(df, label):
+        out = stage(df, label)
+        paths.append(out[1])
+        return out
+
+    monkeypatch.setattr(suffix, "stage", staged)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    repeated_passages(docs).count()
+    size = sum(f.stat().st_size for p in paths for f in Path(p).rglob("*.parquet"))
+    assert size < 0.6 * docs.agg(F.sum(F.octet_length("text"))).first()[0]
+
+
 def test_shards(docs, empty, spark):
     out = shard(docs, shards=3).collect()
     assert len(out) == docs.count() and {r.law for r in out} == {"bytes"}
