@@ -4,10 +4,12 @@ import hashlib
 import zlib
 from collections import Counter
 from pathlib import Path
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -25,6 +27,7 @@ from tickloom.llm.queries import ORACLES, QUERIES
 from tickloom.llm.sharding import shard
 from tickloom.llm.suffix import GRAM, _rolling, repeated_passages
 from tickloom.llm.toxicity import Chain, fit_chain, score_toxicity, toxicity, without_toxic
+from tickloom.llm.wordbpe import WordEncoder, WordTable
 
 SMALL = "/root/testdata/sf0.001"
 BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -363,6 +366,25 @@ def test_packing(docs, empty, size):
     assert pack(empty, BPE).count() == 0
 
 
+def test_word_table(monkeypatch):
+    """Ids are the library's for words with marks, other alphabets and odd spaces; plain words beside marks share one call."""
+    t = Tokenizer.from_file(BPE)
+    words = "Straße straße, MASSE&&& ending*** (word) it's we'll don't, a_b a_ 'tis x<|endoftext|> y<| end.) É%%% é~ ÿ` ß ß# 日本! İstanbul ǅ 12,5 3% - ... &&& a\u0338 a=\u0338 ﬁn x\x1cy \x85".split(" ")
+    rng = np.random.default_rng(3)
+    lines = ["", None, "  ", " lead", "trail\t\x0b\n", *(" ".join(rng.choice(words, 30)) for _ in range(200)), *words]
+    lines += ["".join(rng.choice([*"abÉß&.,-'*<>|_~\"1日 "], 40)) for _ in range(300)]
+    for most in (700_000, 20):
+        table = WordTable(BPE, most=most)
+        for texts in (lines, lines[::-1]):
+            got = [x for i in range(0, len(texts), 40) for x in table.encode(pa.array(texts[i : i + 40], pa.string()))]
+            assert [x.tolist() for x in got] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert table.encode(pa.array([], pa.string())) == []
+    own, calls = WordEncoder(BPE), []
+    monkeypatch.setattr(own, "tokenizer", SimpleNamespace(encode_batch_fast=lambda x, **k: (calls.extend(x), t.encode_batch_fast(x, **k))[1], encode=t.encode))
+    own.encode([a + b for a in ("straße", "lichß", "word") for b in ("", ",", "&&&", "***", "%)")])
+    assert sorted(calls) == sorted(["straße lichß word", ",", "&&&", "***", "%)"])
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import slices, stage, texts, worker_state
+from tickloom.llm.common import slices, stage, worker_state
 from tickloom.llm.wordbpe import WordTable
 
 #: Sequences that a partition keeps open at once.
@@ -20,7 +20,7 @@ OPEN = 64
 #: Partitions whose leftovers meet in one task of a merging round.
 FAN_IN = 32
 #: Bytes of text tokenized at once.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -113,10 +113,9 @@ def pack(
         part = TaskContext.get().partitionId()
         windows, number = OpenWindows(size, open_windows), part << 32
         for b in slices(batches, "text", BATCH_BYTES):
-            lines = table.numbers([t.split() for t in texts(b, "text")])
             full = []
-            for doc, codes in zip(b.column("id").to_pylist(), lines, strict=True):
-                ids = np.append(table.ids(codes), np.uint32(end_id)).astype("<u4")
+            for doc, ids in zip(b.column("id").to_pylist(), table.encode(b.column("text")), strict=True):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for w in windows.place((doc, 0, ids, len(ids))):
                     full.append((number, w))
                     number += 1

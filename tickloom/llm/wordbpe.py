@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import re
-from itertools import islice
+from itertools import islice, pairwise
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from tickloom.llm.common import worker_state
 
-#: A line for each word: letters whose lower case is one letter and which normalisation leaves alone, then full stops and the
-#: like; or anything else.
-_PLAIN = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)|(.+))$", re.MULTILINE)
-_LETTERS = re.compile(r"[a-zà-öø-ÿ]+")
+#: A line for each word: letters whose lower case is one letter and which normalisation leaves alone, then ASCII marks without
+#: apostrophes, which the tokenizer takes as one piece; or anything else.
+_PLAIN = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)|(.+))$", re.MULTILINE)
+_LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
 #: Distinct words whose ids a Python worker remembers at once.
 WORDS = 300_000
 
@@ -47,8 +49,8 @@ class WordEncoder:
                 for w in part:
                     self.known[w] = self._whole(w)
                 continue
-            for w, a, b in zip(part, [0, *cuts[:-1]], cuts, strict=True):
-                self.known[w] = ids[a:b].tobytes()
+            ends = (4 * cuts).tolist()
+            self.known.update(zip(part, map(ids.tobytes().__getitem__, map(slice, [0, *ends], ends)), strict=True))
 
     def _whole(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -80,7 +82,7 @@ def encoder(path: str) -> WordEncoder:
 class Codes(dict):
     """Numbers words in the order in which they first appear."""
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes | str) -> int:
         n = self[word] = len(self)
         return n
 
@@ -93,15 +95,15 @@ class WordTable:
         self.clear()
 
     def clear(self) -> None:
-        self.known, self.size, self.count = Codes(), 0, 0
+        self.known, self.size, self.count = Codes({"": 0}), 0, 1  # the empty word has no ids
         self.flat, self.starts, self.lengths = np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def numbers(self, lines: list[list[bytes]]) -> list[np.ndarray]:
-        """Numbers of the words of each line; the table starts anew once it holds ``most`` words."""
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """Numbers of the words; the table starts anew once it holds ``most`` words."""
         if len(self.known) > self.most:
             self.clear()
-        out = [np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)) for words in lines]
-        new = [w.decode() for w in islice(self.known, self.count, None)]
+        out = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        new = list(islice(self.known, self.count, None))
         if new:
             pieces = encoder(self.path).encode(new)
             lengths = np.fromiter(map(len, pieces), np.int64, len(new)) // 4
@@ -114,8 +116,18 @@ class WordTable:
             self.size, self.count = self.size + len(ids), self.count + len(new)
         return out
 
-    def ids(self, numbers: np.ndarray) -> np.ndarray:
-        return gather(numbers, self.flat, self.starts, self.lengths)
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text; null counts as empty. Only a batch's distinct words are looked up."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))  # at the ends of a text there may be an empty word
+        words = split.flatten().dictionary_encode()
+        if not len(words):
+            return []
+        # As one string, which is cut here: faster than a Python object from each Arrow value.
+        distinct = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words.dictionary)], pa.int32()), words.dictionary), "\n")[0].as_py().split("\n")
+        codes = self._numbers(distinct)[words.indices.to_numpy()]
+        ids = gather(codes, self.flat, self.starts, self.lengths)
+        cuts = np.append(0, np.cumsum(self.lengths[codes]))[split.offsets.to_numpy()].tolist()
+        return [ids[a:b] for a, b in pairwise(cuts)]
 
 
 def _room(a: np.ndarray, used: int, more: int) -> np.ndarray:
