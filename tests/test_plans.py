@@ -3,10 +3,12 @@
 import re
 
 import pytest
+from helpers import SMALL
 from pyspark.sql import functions as F
 
 from tickloom.operators import features, lags, select
 from tickloom.operators.series import BY_DAY_DENSE
+from tickloom.plans import load_all
 from tickloom.schema import INDEX, RESPONDERS
 from tickloom.sources.fixtures import PANEL_FEATURES
 from tickloom.sources.panel import scan_panel, write_bucketed_cache, write_partitioned_cache
@@ -35,6 +37,12 @@ def test_all_shifts_share_one_shuffle_and_sort(stored):
     assert shuffles(df) == 1 and plan(df).count("+- Sort") == 1
 
 
+@pytest.mark.parametrize("name", ["responder_signed_leads"])
+def test_responders_and_their_shifts_share_one_shuffle(spark, name):
+    text = plan(load_all()[0][name](spark, SMALL))
+    assert len(re.findall(r"Exchange hashpartitioning\([^)]*__blk", text)) == 1
+
+
 def jobs(spark) -> int:
     return len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
 

@@ -1,6 +1,7 @@
 """Blocked work along long series gives what plain windows give."""
 
 import random
+from dataclasses import replace
 
 import pytest
 from helpers import rows
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import features, lags, rolling
 from tickloom.operators.quantiles import exact_quantiles
-from tickloom.operators.series import SeriesLayout, join_sized, position_by_int, with_position
+from tickloom.operators.series import SeriesLayout, cut_series, home_rows, join_sized, over_series, position_by_int, with_position
 
 KEYS = ["date_id", "symbol_id", "time_id"]
 
@@ -55,6 +56,22 @@ def test_shift_larger_than_a_block(gapped, short):
     same(blocked, features.shift_columns(short, shifts).withColumn("time_id", F.col("time_id").cast("int")))
 
 
+@pytest.mark.parametrize("bits", [2, 5, 13])
+def test_windows_on_windows_in_one_cut_equal_separate_passes(gapped, short, bits):
+    ahead = lambda w: [f"avg(responder_6) OVER ({w} ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING) AS mean"]
+    shifts = [("back", "mean", 5), ("front", "mean", -9)]
+    null_order = gapped.limit(2).withColumn("time_id", F.lit(None).cast("int"))
+    layout = SeriesLayout(block_bits=bits)
+    for df in (gapped.unionByName(null_order), short):
+        blocks = cut_series(df, before=5, after=9 + 6, layout=layout)
+        inside = replace(layout, cut=True)
+        once = home_rows(features.shift_columns(over_series(blocks, ahead, layout=inside), shifts, inside), inside)
+        twice = features.shift_columns(over_series(df, ahead, after=6, layout=layout), shifts, layout)
+        assert once.columns == twice.columns
+        same(once.where("time_id IS NOT NULL"), twice.where("time_id IS NOT NULL"))
+        assert once.count() == twice.count()
+
+
 def test_rolling_in_blocks_equals_plain_window(gapped, short):
     blocked = rolling.rolling_mean_rows(gapped, "responder_6", 50, layout=SeriesLayout(block_bits=4))
     plain = rolling.rolling_mean_rows(short, "responder_6", 50).withColumn("time_id", F.col("time_id").cast("int"))
