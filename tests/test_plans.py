@@ -37,7 +37,7 @@ def test_all_shifts_share_one_shuffle_and_sort(stored):
     assert shuffles(df) == 1 and plan(df).count("+- Sort") == 1
 
 
-@pytest.mark.parametrize("name", ["responder_signed_leads"])
+@pytest.mark.parametrize("name", ["responder_signed_leads", "responder_lags_intraday"])
 def test_responders_and_their_shifts_share_one_shuffle(spark, name):
     text = plan(load_all()[0][name](spark, SMALL))
     assert len(re.findall(r"Exchange hashpartitioning\([^)]*__blk", text)) == 1
