@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tickloom.operators import features, lags, select
 from tickloom.operators.series import BY_DAY_DENSE
 from tickloom.plans import load_all
-from tickloom.schema import INDEX, RESPONDERS
+from tickloom.schema import INDEX, LAG_STEPS, RESPONDERS
 from tickloom.sources.fixtures import PANEL_FEATURES
 from tickloom.sources.panel import scan_panel, write_bucketed_cache, write_partitioned_cache
 
@@ -72,6 +72,25 @@ def test_tails_come_from_the_clustered_table_without_moving_it(spark, stored, tm
     assert df.exceptAll(want).isEmpty() and df.count() == want.count()
 
 
+def test_only_rows_of_tails_are_written(spark):
+    from tickloom.plans.q_windows import written_lags
+
+    table = written_lags(spark, SMALL)
+    assert table.where(f"lag_time_id > {max(LAG_STEPS[120])}").isEmpty()
+    assert table.count() < 6000 and lags.lag_tail_pivot(table).count() == table.select("date_id", "symbol_id").distinct().count()
+
+
+def test_small_tails_leave_the_rows_where_they_are(stored, tmp_path):
+    table = lags.clustered_lag_tails(stored, str(tmp_path / "tails"), BY_DAY_DENSE, buckets=4)
+    limit = stored.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    stored.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        text = plan(lags.attach_prev_day_lags(stored.select(*INDEX), table))
+    finally:
+        stored.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert re.search(r"BroadcastHashJoin.*LeftOuter", text) and "SortMergeJoin" not in text
+
+
 def test_a_table_of_the_same_clustering_is_not_moved_either(spark, stored, tmp_path):
     table = lags.clustered_lag_responders(stored, str(tmp_path / "lags"), buckets=4)
     rows = write_bucketed_cache(stored.select(*INDEX), str(tmp_path / "rows"), ["date_id", "symbol_id"], list(INDEX), 4)

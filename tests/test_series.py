@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tickloom.operators import features, lags, rolling
 from tickloom.operators.quantiles import exact_quantiles
 from tickloom.operators.series import SeriesLayout, cut_series, home_rows, join_sized, over_series, position_by_int, with_position
+from tickloom.schema import LAG_STEPS
 
 KEYS = ["date_id", "symbol_id", "time_id"]
 
@@ -72,6 +73,21 @@ def test_windows_on_windows_in_one_cut_equal_separate_passes(gapped, short, bits
         assert once.count() == twice.count()
 
 
+@pytest.mark.parametrize("bits", [3, 13])
+def test_tail_rows_are_those_of_the_whole_lag_table(gapped, bits):
+    rng = random.Random(6)
+    data = [(d, t, s, rng.random()) for d, s, n in ((0, 0, 130), (1, 0, 90), (3, 0, 300), (0, 1, 2), (3, 1, 25), (None, 2, 4)) for t in sorted(rng.sample(range(n * 2), n))]
+    df = gapped.sparkSession.createDataFrame([*data, (3, None, 0, 0.5)], "date_id smallint, time_id int, symbol_id int, responder_6 double")
+    layout = SeriesLayout(block_bits=bits)
+    steps = sorted({i for used in LAG_STEPS.values() for i in used})
+    want = lags.lag_responder_table(df, ["responder_6"]).where(F.col("lag_time_id").isin(steps) & F.col("date_id").isNotNull())
+    got = lags.lag_tail_table(df, layout, ["responder_6"]).where("date_id IS NOT NULL")
+    assert got.dtypes == want.dtypes and want.count() > 50
+    same(got, want)
+    inside = replace(layout, cut=True)
+    same(lags.lag_tail_table(cut_series(df, after=steps[-1], layout=layout), inside, ["responder_6"]).where("date_id IS NOT NULL"), want)
+
+
 def test_rolling_in_blocks_equals_plain_window(gapped, short):
     blocked = rolling.rolling_mean_rows(gapped, "responder_6", 50, layout=SeriesLayout(block_bits=4))
     plain = rolling.rolling_mean_rows(short, "responder_6", 50).withColumn("time_id", F.col("time_id").cast("int"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.select import in_dates
-from tickloom.operators.series import SeriesLayout, attach_group_stats, is_short, shift_columns
+from tickloom.operators.series import SeriesLayout, attach_group_stats, home_rows, is_short, is_small, over_series, shift_columns
 from tickloom.schema import INDEX, LAG_STEPS, RESPONDERS, SMA_RESPONDERS, lag_name
 from tickloom.sources.panel import write_bucketed_cache, write_partitioned_cache
 
@@ -33,6 +33,18 @@ def lag_time_countdown(df: DataFrame) -> DataFrame:
     )
 
 
+def tail_countdown(df: DataFrame, within: int, layout: SeriesLayout) -> DataFrame:
+    """``lag_time_countdown`` of the rows whose countdown is at most ``within``; all others end in the task that sees them.
+
+    They are among the last ``within`` rows of their series, so that statistics of groups are made of these few only.
+    """
+    order = layout.order
+    ends = over_series(df, lambda w: [f"lead({order}, {within}) OVER ({w}) IS NULL AS __end"], after=within, layout=layout)
+    last = (home_rows(ends, layout) if layout.cut else ends).where(f"__end AND {order} IS NOT NULL").drop("__end")
+    countdown = F.max(order).over(Window.partitionBy(*layout.keys)).cast("int") + 1 - F.col(order)
+    return last.withColumn("lag_time_id", countdown).where(F.col("lag_time_id") <= within)
+
+
 def prev_date_shift(df: DataFrame, columns: Sequence[str] = RESPONDERS, lag: int = 1) -> DataFrame:
     """Value at the same countdown slot on the ``lag``-th previous date on which the symbol has it."""
     return shift_columns(df, [(f"{c}_shift_{lag}", c, lag) for c in columns], BY_COUNTDOWN)
@@ -40,7 +52,16 @@ def prev_date_shift(df: DataFrame, columns: Sequence[str] = RESPONDERS, lag: int
 
 def lag_responder_table(df: DataFrame, responders: Sequence[str] = RESPONDERS) -> DataFrame:
     """Previous-date responders per (date, time, symbol), with the countdown slot."""
-    counted = lag_time_countdown(df.select(*INDEX, *responders))
+    return _shifted_by_slot(lag_time_countdown(df.select(*INDEX, *responders)), responders)
+
+
+def lag_tail_table(df: DataFrame, layout: SeriesLayout, responders: Sequence[str] = RESPONDERS) -> DataFrame:
+    """The rows of ``lag_responder_table`` that tails are taken from: those at one of the ``LAG_STEPS``."""
+    steps = sorted({i for used in LAG_STEPS.values() for i in used})
+    return _shifted_by_slot(tail_countdown(df, steps[-1], layout).where(F.col("lag_time_id").isin(steps)), responders)
+
+
+def _shifted_by_slot(counted: DataFrame, responders: Sequence[str]) -> DataFrame:
     return prev_date_shift(counted, responders).select(
         "date_id", "time_id", "lag_time_id", "symbol_id", *[f"{c}_shift_1" for c in responders]
     )
@@ -53,7 +74,16 @@ def cached_lag_responders(df: DataFrame, path: str) -> DataFrame:
 
 def clustered_lag_responders(df: DataFrame, path: str, buckets: int = LAG_BUCKETS) -> DataFrame:
     """The lag table, written on first use and hashed by (date, symbol), the keys that its tails are taken and attached by."""
-    return write_bucketed_cache(lag_responder_table(df), path, ["date_id", "symbol_id"], ["date_id", "symbol_id", "time_id"], buckets)
+    return _clustered(lag_responder_table(df), path, buckets)
+
+
+def clustered_lag_tails(df: DataFrame, path: str, layout: SeriesLayout, buckets: int = LAG_BUCKETS) -> DataFrame:
+    """``clustered_lag_responders`` with only the rows that tails are taken from: its size follows the number of series, not of rows."""
+    return _clustered(lag_tail_table(df, layout), path, buckets)
+
+
+def _clustered(table: DataFrame, path: str, buckets: int) -> DataFrame:
+    return write_bucketed_cache(table, path, ["date_id", "symbol_id"], ["date_id", "symbol_id", "time_id"], buckets)
 
 
 def lag_tail_pivot(lags: DataFrame) -> DataFrame:
@@ -79,10 +109,12 @@ def attach_prev_day_lags(df: DataFrame, lags: DataFrame) -> DataFrame:
     """Add the 90 tail values of the previous date to every row: one pivot and one join.
 
     From ``clustered_lag_responders`` neither the pivot nor the join moves a lag row; only ``df`` is shuffled, and not even
-    that if it is a table of the same clustering. No job runs before the result is asked for. Rows with a null date or symbol
-    have no tails.
+    that if it is a table of the same clustering. Tails that Catalyst estimates as small are broadcast, and ``df`` stays where it is.
+    No job runs before the result is asked for. Rows with a null date or symbol have no tails.
     """
     tails = lag_tail_pivot(in_dates(lags, df.select("date_id"))).withColumnsRenamed({"date_id": "__date", "symbol_id": "__symbol"})
+    if is_small(tails):
+        tails = F.broadcast(tails)
     # Plain equality, as a null-safe one hides the clustering.
     return df.join(tails, (F.col("date_id") == F.col("__date")) & (F.col("symbol_id") == F.col("__symbol")), "left").drop("__date", "__symbol")
 

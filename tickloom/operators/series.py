@@ -19,7 +19,9 @@ from pyspark.sql import types as T
 
 from tickloom.functions import text
 
-_POS, _BLK = "__pos", "__blk"
+_POS = "__pos"
+#: Number of a row's block.
+BLOCK = "__blk"
 BROADCAST_LIMIT = 32 * 1024 * 1024
 
 
@@ -65,6 +67,12 @@ def join_sized(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str =
     return df.join(small.withColumnsRenamed(hidden), same, how).drop(*hidden.values())
 
 
+def is_small(df: DataFrame) -> bool:
+    """True for a table within the limit of ``join_sized``, unless the session has switched broadcasts off."""
+    allowed = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold() >= 0
+    return allowed and estimated_bytes(df) <= BROADCAST_LIMIT
+
+
 def attach_group_stats(df: DataFrame, keys: Sequence[str], stats: Sequence[Column]) -> DataFrame:
     """Put per-group aggregates on every row.
 
@@ -130,16 +138,25 @@ def position_by_int(df: DataFrame, group: Sequence[str], order: str, name: str)
 
 
 def cut_series(
-    df: DataFrame, *, before: int = 0, after: int = 0, layout: SeriesLayout = BY_DAY, slots: bool = False
+    df: DataFrame, *, before: int = 0, after: int = 0, layout: SeriesLayout = BY_DAY, slots: bool = False, together: Sequence[str] = ()
 ) -> DataFrame:
     """Rows in blocks, each with copies of the ``before`` rows behind it and the ``after`` rows ahead of it.
 
     Windows of a layout with ``cut`` then run one on top of the other in the same blocks, with one shuffle and one sort;
     ``before`` and ``after`` are the sums of what they reach. ``home_rows`` leaves the copies out again.
+
+    With ``together``, keys that several series share, the blocks of these series with the same number go to the same task.
+    In a dense layout it then has whole cross sections, and windows over these keys, ``BLOCK`` and the order column need no
+    shuffle of their own.
     """
+    blocks = _cut(df, before, after, layout, slots)
+    return blocks.repartition(*together, BLOCK) if together else blocks
+
+
+def _cut(df: DataFrame, before: int, after: int, layout: SeriesLayout, slots: bool) -> DataFrame:
     order, bits = layout.order, layout.block_bits
     if is_short(df, order):
-        return df.withColumn(_BLK, F.col(order).isNull().cast("bigint"))
+        return df.withColumn(BLOCK, F.col(order).isNull().cast("bigint"))
     if slots or layout.dense:
         placed, pos = df, text.name(order)
     else:
@@ -148,16 +165,16 @@ def cut_series(
     if before or after:
         first = f"greatest(shiftright({pos} - {after}, {bits}), least({home}, 0))"
         last = f"shiftright({pos} + {before}, {bits})"
-        return placed.selectExpr("*", f"explode(coalesce(sequence({first}, {last}), array({home}))) AS {_BLK}")
-    return placed.selectExpr("*", f"{home} AS {_BLK}")
+        return placed.selectExpr("*", f"explode(coalesce(sequence({first}, {last}), array({home}))) AS {BLOCK}")
+    return placed.selectExpr("*", f"{home} AS {BLOCK}")
 
 
 def home_rows(df: DataFrame, layout: SeriesLayout = BY_DAY) -> DataFrame:
     """The rows of ``cut_series`` without the copies."""
     if is_short(df, layout.order):
-        return df.drop(_BLK)
+        return df.drop(BLOCK)
     pos = _POS if _POS in df.columns else text.name(layout.order)
-    return df.where(f"{_BLK} <=> shiftright({pos}, {layout.block_bits})").drop(_POS, _BLK)
+    return df.where(f"{BLOCK} <=> shiftright({pos}, {layout.block_bits})").drop(_POS, BLOCK)
 
 
 def over_series(
@@ -176,7 +193,7 @@ def over_series(
     values of the order column (range frames). Rows whose order is null stay; they form a series
     of their own, which no other row sees.
     """
-    window = f"PARTITION BY {', '.join([*layout.keys, _BLK])} ORDER BY {layout.order}"
+    window = f"PARTITION BY {', '.join([*layout.keys, BLOCK])} ORDER BY {layout.order}"
     if layout.cut:
         return df.selectExpr("*", *build(window))
     blocks = cut_series(df, before=before, after=after, layout=layout, slots=slots)
