@@ -80,6 +80,31 @@ def test_only_rows_of_tails_are_written(spark):
     assert table.count() < 6000 and lags.lag_tail_pivot(table).count() == table.select("date_id", "symbol_id").distinct().count()
 
 
+def test_versions_are_made_in_the_blocks_of_the_panel(spark):
+    text = plan(load_all()[0]["feature_set_registry"](spark, SMALL))
+    assert len(re.findall(r"Exchange hashpartitioning\([^)]*__blk", text)) == 1 and not re.search(r"Exchange hashpartitioning\(date_id#\d+, time_id", text)
+
+
+def test_compared_versions_write_only_what_they_read(spark, tmp_path, monkeypatch):
+    from tickloom.operators import models
+    from tickloom.plans import q_models
+    from tickloom.plans.registry import FEATURE_SETS, build_shared, project
+    from tickloom.sources.fixtures import panel
+
+    monkeypatch.setattr(q_models, "shared_dir", lambda spark, label: str(tmp_path / label))
+    monkeypatch.setattr(models, "compare_specs", lambda built, *_: built)
+    built = load_all()[0]["compare_specs"](spark, SMALL)
+    assert len(spark.read.parquet(str(tmp_path / "compared-specs")).columns) == 17
+    versions = (2, 6, 12, 13)
+    shared = build_shared(panel(spark, SMALL), versions, q_models.written_lags(spark, SMALL), PANEL_FEATURES, BY_DAY_DENSE, dtype="double")
+    for v in (6, 12):
+        table, inputs = built[f"v{v:02d}"]
+        cols = ["date_id", *inputs, "responder_6"]
+        want, got = (df.select(*[F.round(c, 9).alias(c) for c in cols]) for df in (project(shared, v, versions, PANEL_FEATURES), table))
+        assert inputs == FEATURE_SETS[v].inputs(PANEL_FEATURES)
+        assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+
+
 def test_small_tails_leave_the_rows_where_they_are(stored, tmp_path):
     table = lags.clustered_lag_tails(stored, str(tmp_path / "tails"), BY_DAY_DENSE, buckets=4)
     limit = stored.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
