@@ -105,6 +105,19 @@ def test_compared_versions_write_only_what_they_read(spark, tmp_path, monkeypatc
         assert got.count() == want.count() and got.exceptAll(want).isEmpty()
 
 
+def test_epochs_read_their_dates_of_a_written_panel(spark, monkeypatch):
+    from tickloom.plans import q_streams
+
+    seen = {}
+    monkeypatch.setattr(q_streams.st, "staged", lambda df, label: (spark, "in", "work"))
+    monkeypatch.setattr(q_streams.st, "read_staged", lambda *_: None)
+    monkeypatch.setattr(q_streams.st, "online_samples", lambda *_, train, test, **__: seen.update(train=train, test=test) or spark.range(1).selectExpr("1 AS epoch", "1 AS date_id"))
+    load_all()[0]["stream_online_sample"](spark, SMALL)
+    for df in seen.values():
+        assert not df.isEmpty() and all("online-panel" in f and "date_id=" in f for f in df.inputFiles())
+        assert "Exchange" not in plan(df)
+
+
 def test_small_tails_leave_the_rows_where_they_are(stored, tmp_path):
     table = lags.clustered_lag_tails(stored, str(tmp_path / "tails"), BY_DAY_DENSE, buckets=4)
     limit = stored.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")

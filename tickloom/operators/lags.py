@@ -112,9 +112,10 @@ def attach_prev_day_lags(df: DataFrame, lags: DataFrame) -> DataFrame:
     that if it is a table of the same clustering. Tails that Catalyst estimates as small are broadcast, and ``df`` stays where it is.
     No job runs before the result is asked for. Rows with a null date or symbol have no tails.
     """
-    tails = lag_tail_pivot(in_dates(lags, df.select("date_id"))).withColumnsRenamed({"date_id": "__date", "symbol_id": "__symbol"})
-    if is_small(tails):
-        tails = F.broadcast(tails)
+    tails = lag_tail_pivot(lags)
+    # Few tails need no list of the dates of ``df``, which would have to be made for it.
+    tails = F.broadcast(tails) if is_small(tails) else lag_tail_pivot(in_dates(lags, df.select("date_id")))
+    tails = tails.withColumnsRenamed({"date_id": "__date", "symbol_id": "__symbol"})
     # Plain equality, as a null-safe one hides the clustering.
     return df.join(tails, (F.col("date_id") == F.col("__date")) & (F.col("symbol_id") == F.col("__symbol")), "left").drop("__date", "__symbol")
 
